@@ -29,13 +29,15 @@ TOKENIZER = "piece_bpe_32k.model"
 #: Bound of the labelled sample that the counts are fitted on, in rows of each language and in source files.
 SAMPLE_ROWS, SAMPLE_FILES = 400, 400
 MIN_WORDS, MIN_HAN = 5, 8
-#: Nats that a change of label costs, and that a run must be ahead of English and code.
+#: Nats that a change of label costs, and that a run must be ahead of English and code (as half of its words must be, too).
 SWITCH, MARGIN = 7.0, 6.0
 #: Share of the counts of all classes in each class, which makes a subword that no class knows neutral.
 BACKGROUND = 0.1
 
 _HAN = r"㐀-鿿豈-﫿"
-_WORD = re.compile(rf"[{_HAN}]|[^\W\d_{_HAN}]+(?:['’\-][^\W\d_{_HAN}]+)*")
+#: A run of letters that touches digits or underscores is part of a name or a number, not a word.
+_WORD = re.compile(rf"[{_HAN}]|(?<![^\W{_HAN}])[^\W\d_{_HAN}]+(?:['’][^\W\d_{_HAN}]+)*(?![^\W{_HAN}])")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"[A-ZÀ-Þ]?[^\W\d_A-Z]+|[A-Z]+(?![a-z])")
 
 
@@ -149,12 +151,15 @@ def _code_words(rows: Iterator[tuple]) -> Iterator[tuple]:
     for language, content in rows:
         x = lex(language, content)
         names = [x.text[a:b] for a, b, s in zip(x.starts, x.ends, x.syms, strict=True) if s == "ID"]
-        yield "code", "\n".join(" ".join([n, *_CAMEL.findall(n)]) for n in names)
+        opaque = [_LETTERS.sub(r" \g<0> ", s) for a, b in x.strings if not re.search(r"\s", s := x.text[a:b])]
+        yield "code", "\n".join([" ".join([n, *_CAMEL.findall(n)]) for n in names] + opaque)
+        # most comments are English; the second count drops the others
+        yield "en", "\n".join(x.text[a:b] for a, b in x.comments)
 
 
 def fit(documents: DataFrame, files: DataFrame, path: str | None = None, rows: int = SAMPLE_ROWS, code_files: int = SAMPLE_FILES) -> np.ndarray:
-    """Unigram scores from ``rows`` documents of each stated language (whole texts) and the names in
-    ``code_files`` source files. Labels are partly wrong, so a second count leaves out lines that the first
+    """Unigram scores from ``rows`` documents of each stated language (whole texts) and the names, literals
+    and comments in ``code_files`` source files. Labels are partly wrong, so a second count leaves out lines that the first
     one gives to another class. What reaches the driver is at most vocabulary x classes numbers.
     """
     path = path or tokenizer_path()
@@ -226,7 +231,8 @@ class Labeller:
                 part = v[i : j + 1].sum(0)
                 ahead = part[k] - max(part[ENGLISH] if k != ENGLISH else -math.inf, part[CODE])
                 long = sum(len(m.group()) == 1 and ord(m.group()) > 0x3400 for m in spans[i : j + 1]) >= MIN_HAN if CLASSES[k] == "zh" else j - i + 1 >= MIN_WORDS
-                if long and (k == ENGLISH or ahead >= MARGIN):
+                lean = int((v[i : j + 1, k] > v[i : j + 1][:, [ENGLISH, CODE]].max(1)).sum()) if k != ENGLISH else 0
+                if long and (k == ENGLISH or ahead >= MARGIN and 2 * lean >= j - i + 1):
                     out.append((CLASSES[k], spans[i].start(), spans[j].end()))
             i = j + 1
         return out
