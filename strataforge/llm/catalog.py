@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import function_docs, hidden_language, parsing
+from strataforge.llm import credentials, function_docs, hidden_language, parsing
 from strataforge.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.places(table(spark, sf_dir, "file_input"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold credentials, with these masked."""
+    return credentials.redacted(table(spark, sf_dir, "file_input")).filter("n_masked > 0").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return function_docs.found(table(spark, sf_dir, "file_input"))
 
