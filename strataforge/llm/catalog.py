@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import credentials, function_docs, hidden_language, parsing
+from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, parsing
 from strataforge.runtime import table
 
 
@@ -23,6 +23,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return function_docs.found(table(spark, sf_dir, "file_input"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_sources.found(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "file_input"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.invalid_files(table(spark, sf_dir, "file_input"))
 
