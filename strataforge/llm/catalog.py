@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, parsing
+from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, parsing, residue
 from strataforge.runtime import table
 
 
@@ -48,6 +48,14 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_language.shares(_texts(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(table(spark, sf_dir, "documents"))
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
