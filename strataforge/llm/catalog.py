@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, parsing, residue
+from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, leakage, parsing, residue
 from strataforge.runtime import table
 
 
@@ -48,6 +48,10 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_language.shares(_texts(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.found(table(spark, sf_dir, "documents"))
 

@@ -87,7 +87,7 @@ _WEAK = re.compile(
 _CUE = re.compile(
     r"[{}%]|\$\w|@@|##|__|\[\[|\[[^\]\n]*\]|<[A-Za-z]|object Object|Invalid Date|undefined|\bnull\b|\bNone\b|\bNaN\b|\bnil\b|(?i:script|cookie|\bjs\b|error|not found|denied|permission|session|request|gateway|unavailable|wrong|reload|refresh|"
     r"mainten|be back|upstream|reachable|exception|traceback|browser|human|robot|ddos|looking for|authori|allowed to|permitted|logged out|signed out|in again|ask for access|you have been|fehler|erreur|błąd|ошибка|错误|页|seite|introuvable|page|página|pagina|stron|страниц|verweigert|accès|acceso|acesso|accesso|"
-    r"dostęp|доступ|访问|versuchen|réessayez|réessayer|inténtelo|tente|riprova|spróbuj|попробуйте|稍后|脚本|\bhere\b|\bsample|placeholder|dummy|filler|example|lorem|ipsum|loading|please wait|\bn/?a\b|\bt\.?b\.?d|\btodo|\boops|try again|coming soon|untitled|\btest\b|\bfoo\b|blah|asdf|qwerty)|\b(\w{2,})(?: \1){5}"
+    r"dostęp|доступ|访问|versuchen|réessayez|réessayer|inténtelo|tente|riprova|spróbuj|попробуйте|稍后|脚本|\bhere\b|\bsample|placeholder|dummy|filler|example|lorem|ipsum|\b(?:dolor|amet|velit|curae|purus|morbi|vel|quam|augue|turpis|elit|nunc|vitae)\b|loading|please wait|\bn/?a\b|\bt\.?b\.?d|\btodo|\boops|try again|coming soon|untitled|\btest\b|\bfoo\b|blah|asdf|qwerty)|\b(\w{2,})(?: \1){5}"
 )
 _ADDRESS = re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[\w-]+/)+[\w-]+\.\w+\b|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|io|de)\b")
 _DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?Z?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b")
