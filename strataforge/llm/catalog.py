@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, leakage, parsing, residue
+from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, leakage, packing, parsing, residue
 from strataforge.runtime import table
 
 
@@ -48,6 +48,14 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_language.shares(_texts(spark, sf_dir))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
