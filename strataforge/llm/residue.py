@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,14 +82,49 @@ _STRONG = re.compile(
     )
 )
 _WEAK = re.compile(
-    rf"^loading\W*$|^please wait\W*$|^n/?a\W*$|^t\.?b\.?d\W*$|^todo\W*$|^oops\W*$|\btry again (?:later|in #)|^coming soon\W*$|^\({_JS} required\)$|^untitled\W*$|^(?:test|foo|bar|baz)(?: (?:test|foo|bar|baz))*\W*$|\bplease contact (?:the|your) administrator|\bgo back to the (?:start|home) ?page\b"
-)
-#: Cheap test whether a text may hold anything at all.
-_CUE = re.compile(
-    r"[{}%]|\$\w|@@|##|__|\[\[|\[[^\]\n]*\]|<[A-Za-z]|object Object|Invalid Date|undefined|\bnull\b|\bNone\b|\bNaN\b|\bnil\b|(?i:script|cookie|\bjs\b|error|not found|denied|permission|session|request|gateway|unavailable|wrong|reload|refresh|"
-    r"mainten|be back|upstream|reachable|exception|traceback|browser|human|robot|ddos|looking for|authori|allowed to|permitted|logged out|signed out|in again|ask for access|you have been|fehler|erreur|błąd|ошибка|错误|页|seite|introuvable|page|página|pagina|stron|страниц|verweigert|accès|acceso|acesso|accesso|"
-    r"dostęp|доступ|访问|versuchen|réessayez|réessayer|inténtelo|tente|riprova|spróbuj|попробуйте|稍后|脚本|\bhere\b|\bsample|placeholder|dummy|filler|example|lorem|ipsum|\b(?:dolor|amet|velit|curae|purus|morbi|vel|quam|augue|turpis|elit|nunc|vitae)\b|loading|please wait|\bn/?a\b|\bt\.?b\.?d|\btodo|\boops|try again|coming soon|untitled|\btest\b|\bfoo\b|blah|asdf|qwerty)|\b(\w{2,})(?: \1){5}"
+    rf"^loading\W*$|^please wait\W*$|^n/a\W*$|^(?:tbd|t\.b\.d)\W*$|^todo\W*$|^oops\W*$|\btry again (?:later|in #)|^coming soon\W*$|^\({_JS} required\)$|^untitled\W*$|^(?:test|foo)(?: (?:test|foo|bar|baz))*\W*$|\bplease contact (?:the|your) administrator|\bgo back to the (?:start|home) ?page\b"
 )
+#: Parts in lower case of which every rule's message holds one, besides those with a mark.
+_CUES = (
+    "script|cookie|js |js.|js)|invalid|undefined|null|none|nan|nil|error|not found|denied|permission|session|request|gateway|unavailable|went wrong|reload|refresh|mainten|be back|right back|upstream|reachable|exception|"
+    "traceback|browser|human|robot|ddos|looking for|authori|not allowed|not permitted|in again|again later|again in|ask for access|have been|you asked|you tried|you don|you do not|code 4|code 5|http|no such page|page you|"
+    "fehler|erreur|errore|erro |błąd|ошибка|错误|页|seite|introuvable|trouvée|página|pagina|stron|страниц|verweigert|accès|acceso|acesso|accesso|dostęp|доступ|访问|versuchen|réessayez|réessayer|inténtelo|tente|riprova|"
+    "spróbuj|попробуйте|稍后|脚本| here|sample|placeholder|dummy|filler|example text|example paragraph|example content|example title|example sentence|lorem|ipsum|dolor|amet|velit|curae|purus|morbi|augue|turpis|elit|nunc|"
+    "vitae|loading|please wait|n/a|tbd|t.b.d|todo|oops|coming soon|untitled|test|foo|blah|asdf|qwerty|to the start|to the home|administrator|service is|service un|server is|site is|page is|noscript|bad gate|without them"
+).split("|")
+_MARK = re.compile(r"[{}%$@#<\[]|__")
+_REPEATED = re.compile(r"\b(\w{2,})(?: \1){5}")
+
+
+@cache
+def _cues():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for w in _CUES:
+        automaton.add_word(w, len(w))
+    automaton.make_automaton()
+    return automaton
+
+
+def cued_segments(text: str) -> Iterator[str]:
+    """Segments that hold a cue: one pass of an automaton over the text finds where cues are."""
+    low = text.lower()
+    at = [m.start() for m in _MARK.finditer(text)]
+    at += [m.start() for m in _REPEATED.finditer(text)]
+    at += [last for last, _ in _cues().iter(low)] if len(low) == len(text) else range(0, len(text))
+    if not at:
+        return
+    at.sort()
+    k, start = 0, 0
+    for end, after in [*((m.start(), m.end()) for m in _SEGMENT.finditer(text)), (len(text), len(text))]:
+        while k < len(at) and at[k] < start:
+            k += 1
+        if k < len(at) and at[k] < end:
+            yield text[start:end]
+        start = after
+
+
 _ADDRESS = re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[\w-]+/)+[\w-]+\.\w+\b|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|io|de)\b")
 _DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?Z?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b")
 _CODE = re.compile(r"(?<![\d.,])(?:4[0-5]\d|50[0-9]|511|52[0-9])(?![\d.,]\d|\d)")
@@ -122,11 +158,9 @@ def messages(text: str | None) -> Iterator[tuple[str, str]]:
 
     Rules: ``slot``, ``empty`` (a program's empty value for certain), ``value`` (maybe one), ``latin`` or none ('').
     """
-    if not text or not _CUE.search(text):
+    if not text:
         return
-    for segment in _SEGMENT.split(visible(text)):
-        if not segment or not _CUE.search(segment):
-            continue
+    for segment in cued_segments(visible(text)):
         if _SLOT.search(segment):
             yield mask(segment), "slot"
         elif _EMPTY_SURE.search(segment):
