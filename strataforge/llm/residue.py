@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.rows import flat_map
+from strataforge.runtime import cut
 
 #: A weak rule needs so many documents and sources with the same masked message.
 MIN_DOCUMENTS, MIN_SOURCES = 3, 2
@@ -214,7 +215,7 @@ def residue(documents: DataFrame) -> DataFrame:
     rows; a hot hash is split by AQE's skew join or broadcast by size).
     """
     held = flat_map(documents.filter(F.length("text") > 0), ["doc_id", "source", "text"], _candidates, "doc_id bigint, source string, message string, rule string")
-    held = held.withColumn("h", F.xxhash64("message"))
+    held = cut(held.withColumn("h", F.xxhash64("message")))
     per_source = held.groupBy("h", "source").agg(F.first("message").alias("message"), F.collect_set("rule").alias("rules"), F.count(F.lit(1)).alias("n"))
     grouped = per_source.groupBy("h").agg(F.first("message").alias("message"), F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.sum("n").alias("documents"), F.count("source").alias("sources"))
     kinds = flat_map(grouped, ["h", "message", "rules", "documents", "sources"], _classes, "h bigint, kind string", balance=False)
