@@ -18,7 +18,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.rows import flat_map
+from strataforge.functions.rows import flat_map
 from strataforge.runtime import cut
 
 #: A value in more repositories than this is a placeholder.
@@ -269,10 +269,6 @@ def _blocks(values: DataFrame) -> Iterator[list[str]]:
         yield [r.value for r in (values if n == 1 else values.filter(part == i)).toLocalIterator()]
 
 
-def _held(values: DataFrame) -> DataFrame:
-    return cut(values)
-
-
 def places(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """Distinct (file_id, line_no) where a credential's value begins.
 
@@ -281,7 +277,7 @@ def places(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """
     spark, parts = files.sparkSession, []
     source = files.filter(F.length("content") > 0)
-    for i, block in enumerate(_blocks(_held(confirmed(files, max_owners)))):
+    for i, block in enumerate(_blocks(cut(confirmed(files, max_owners)))):
         shared = spark.sparkContext.broadcast(block)
 
         def each(rows: Iterator[tuple], shared=shared, first=i == 0) -> Iterator[tuple]:
@@ -298,7 +294,7 @@ def redacted(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """(file_id, language, content, n_masked): all rows, with every credential masked and everything else intact."""
     spark = files.sparkSession
     out = files.select("file_id", "language", "content", F.lit(0).alias("n_masked"))
-    for i, block in enumerate(_blocks(_held(confirmed(files, max_owners)))):
+    for i, block in enumerate(_blocks(cut(confirmed(files, max_owners)))):
         shared = spark.sparkContext.broadcast(block)
 
         def each(rows: Iterator[tuple], shared=shared, first=i == 0) -> Iterator[tuple]:

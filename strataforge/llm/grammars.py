@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import cache
 
 from strataforge.llm.derivatives import Grammar, Verdict, recognise
-from strataforge.llm.lexing import CONTEXTUAL, KEYWORDS, Lexed
+from strataforge.functions.lexing import CONTEXTUAL, KEYWORDS, Lexed
 
 _SCRIPT = """
 program = {stmt} .

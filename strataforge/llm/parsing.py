@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.grammars import check
-from strataforge.llm.lexing import LANGUAGES, lex
-from strataforge.llm.rows import flat_map
+from strataforge.functions.lexing import LANGUAGES, lex
+from strataforge.functions.rows import flat_map
 
 
 def fault_of(language: str | None, content: str | None) -> tuple[str | None, int, str]:
