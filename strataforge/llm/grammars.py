@@ -97,8 +97,9 @@ declared = "interface" ID tparams ["extends" type {"," type}] tobject
     | "type" ID tparams "=" type ";"
     | ["const"] "enum" ID "{" [key ["=" asg] {"," key ["=" asg]} [","]] "}"
     | ("namespace" | "module") (ID {"." NAME} | STR) block
-    | "declare" (declared | func0 | class | varword vd {"," vd} ";" | "global" block | "module" STR ";")
+    | "declare" (declared | func0 | class | varword vd {"," vd} ";" | "global" ambient | ("namespace" | "module") (ID {"." NAME} | STR) ambient | "module" STR ";")
     | func0 .
+ambient = "{" {stmt | ["export"] varword vd {"," vd} ";"} "}" .
 func0 = ["async"] "function" ["*"] ID tparams params tret ";" .
 tparams = ["<" tparam {"," tparam} [","] ">"] .
 tparam = {"const" | "in"} ID ["extends" type] ["=" type] .
