@@ -72,5 +72,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_PLAIN = "regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '</?[A-Za-z][^<>]*>', ' ', 'g')"
+_GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = lambda name, key: f"SELECT {key}, regexp_extract_all(lower({_PLAIN.format('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL"
+    return {
+        "p8_found": f"WITH d AS ({words('documents', 'doc_id')}), i AS ({words('eval_items', 'item_id')}), di AS (SELECT doc_id, {_GRAMS} AS g FROM d WHERE len(w) >= 12), "
+        f"ii AS (SELECT item_id, {_GRAMS} AS g FROM i WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM di JOIN ii USING (g)"
+    }
