@@ -85,11 +85,11 @@ def impact(
 def resolve_targets(changes: DataFrame, entities: DataFrame) -> DataFrame:
     """(side, path, target, resolved): each changed path looked up on the side it belongs to.
 
-    ``changes`` (kind, path, previous_path), ``entities`` (side, path, id). Added paths are looked up after, deleted ones
+    ``changes`` (kind, path, previousPath), ``entities`` (side, path, id). Added paths are looked up after, deleted ones
     before, others on both sides (a rename by its old path before).
     """
     sides = F.when(F.col("kind") == "added", F.array(F.lit("after"))).when(F.col("kind") == "deleted", F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after")))
-    each = changes.withColumn("side", F.explode(sides)).withColumn("path", F.when((F.col("side") == "before") & F.col("previous_path").isNotNull(), F.col("previous_path")).otherwise(F.col("path")))
+    each = changes.withColumn("side", F.explode(sides)).withColumn("path", F.when((F.col("side") == "before") & F.col("previousPath").isNotNull(), F.col("previousPath")).otherwise(F.col("path")))
     held = entities.select("side", "path", F.col("id").alias("target"))
     return each.select("side", "path").distinct().join(held, ["side", "path"], "left").withColumn("resolved", F.col("target").isNotNull())
 
