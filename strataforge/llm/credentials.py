@@ -108,18 +108,21 @@ def _random_tail(tail: str) -> bool:
     return strength(tail) == 2 and any(c.isdigit() for c in tail) and (any(c.isupper() for c in tail) and any(c.islower() for c in tail) or len(tail) >= 24)
 
 
+def private_keys(content: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of private keys with a body, from the BEGIN mark on."""
+    for m in _PEM.finditer(content):
+        body = _PEM_BODY.match(content, m.end())
+        if body:
+            end = _PEM_END.search(content, m.end())
+            yield m.start(), end.start() if end and end.start() - m.end() < 20_000 else body.end()
+
+
 def candidates(content: str, settings: bool) -> Iterator[tuple[int, int, str, str, int]]:
     """(start, end, value, kind, strength) of possible credentials. ``settings`` is for files without a language.
 
-    Kinds: ``pem`` stands for itself, ``known`` and ``url`` too unless shared; ``named`` has a credential's name;
+    Kinds: ``known`` and ``url`` stand for themselves unless shared; ``named`` has a credential's name;
     ``prefixed`` (its strength is the prefix's length) waits for its prefix.
     """
-    for m in _PEM.finditer(content):
-        body = _PEM_BODY.match(content, m.end())
-        if body:
-            end = _PEM_END.search(content, m.end())
-            stop = end.start() if end and end.start() - m.end() < 20_000 else body.end()
-            yield m.start(), stop, "", "pem", 2
     for m in _KNOWN.finditer(content):
         yield m.start(), m.end(), m.group(), "known", 2
     for m in _URL_PASSWORD.finditer(content):
@@ -173,9 +176,9 @@ def _judged(start: int, end: int, value: str) -> Iterator[tuple[int, int, str, s
 
 def _each(rows: Iterator[tuple]) -> Iterator[tuple]:
     for repo_id, language, content in rows:
-        for _, _, value, kind, s in set(candidates(content, language is None)):
-            if kind != "pem":
-                yield repo_id, value, kind, value[:s] if kind == "prefixed" else None, s
+        # the text as written, so that the automaton also finds a value put together from several literals
+        for written, kind, s in {(content[a:b], kind, s) for a, b, _, kind, s in candidates(content, language is None)}:
+            yield repo_id, written, kind, written[:s] if kind == "prefixed" else None, s
 
 
 def _index(files: DataFrame) -> DataFrame:
@@ -218,7 +221,7 @@ class Scanner:
         if self.values:
             self.automaton.make_automaton()
 
-    def spans(self, content: str, settings: bool, keys: bool = True) -> list[tuple[int, int]]:
+    def spans(self, content: str, keys: bool = True) -> list[tuple[int, int]]:
         """Merged, in order. ``keys``: private keys too."""
         held = []
         if self.values:
@@ -227,12 +230,8 @@ class Scanner:
                 a, b = last + 1 - length, last + 1
                 if (a == 0 or not (content[a - 1].isalnum() and content[a].isalnum())) and (b == n or not (content[b].isalnum() and content[b - 1].isalnum())):
                     held.append((a, b))
-        for a, b, value, kind, _ in candidates(content, settings):
-            if kind == "pem":
-                if keys:
-                    held.append((a, b))
-            elif b - a != len(value) and value in self.values:  # one value in several literals
-                held.append((a, b))
+        if keys:
+            held += private_keys(content)
         out: list[tuple[int, int]] = []
         for a, b in sorted(held):
             if out and a < out[-1][1]:
@@ -282,11 +281,11 @@ def places(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 
         def each(rows: Iterator[tuple], shared=shared, first=i == 0) -> Iterator[tuple]:
             scan = Scanner(shared.value)
-            for file_id, language, content in rows:
-                for a, _ in scan.spans(content, language is None, first):
+            for file_id, content in rows:
+                for a, _ in scan.spans(content, first):
                     yield file_id, content.count("\n", 0, a) + 1
 
-        parts.append(flat_map(source, ["file_id", "language", "content"], each, "file_id bigint, line_no int"))
+        parts.append(flat_map(source, ["file_id", "content"], each, "file_id bigint, line_no int"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -300,7 +299,7 @@ def redacted(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         def each(rows: Iterator[tuple], shared=shared, first=i == 0) -> Iterator[tuple]:
             scan = Scanner(shared.value)
             for file_id, language, content, n in rows:
-                spans = scan.spans(content, language is None, first) if content else []
+                spans = scan.spans(content, first) if content else []
                 yield file_id, language, masked(content, spans) if spans else content, n + len(spans)
 
         out = flat_map(out, ["file_id", "language", "content", "n_masked"], each, "file_id bigint, language string, content string, n_masked int")
