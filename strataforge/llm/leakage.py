@@ -175,15 +175,21 @@ def common_subsequence(a: np.ndarray, masks: dict[int, int], length: int) -> int
     return length - v.bit_count()
 
 
-def common_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest run of consecutive words that two texts share."""
-    best, row = 0, np.zeros(len(b) + 1, np.int32)
+def places_of(words: list[int]) -> dict[int, list[int]]:
+    """Positions of each word."""
+    out: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
+        out[w].append(i)
+    return dict(out)
+
+
+def common_run(a: list[int], places: dict[int, list[int]]) -> int:
+    """Length of the longest run of consecutive words that ``a`` shares with a text of which the positions of words are given."""
+    best, row = 0, {}
     for w in a:
-        new = np.zeros_like(row)
-        hit = np.flatnonzero(b == w)
-        new[hit + 1] = row[hit] + 1
-        best = max(best, int(new.max(initial=0)))
-        row = new
+        row = {i: row.get(i - 1, 0) + 1 for i in places.get(w, ())}
+        if row:
+            best = max(best, max(row.values()))
     return best
 
 
@@ -206,11 +212,9 @@ def _block_leaks(documents: DataFrame, items: Items, cosine: float) -> DataFrame
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
         ids, words, idf, space, vectors, starts = shared.value
         masks: list[dict[int, int]] = []
-        for w in words:
-            m: dict[int, int] = defaultdict(int)
-            for i, x in enumerate(w.tolist()):
-                m[x] |= 1 << i
-            masks.append(dict(m))
+        places = [places_of(w.tolist()) for w in words]
+        for held in places:
+            masks.append({x: sum(1 << i for i in at) for x, at in held.items()})
         for doc_id, raw in rows:
             p = np.frombuffer(raw, np.int32)
             (own, v), = _vectors([p], idf)
@@ -220,7 +224,7 @@ def _block_leaks(documents: DataFrame, items: Items, cosine: float) -> DataFrame
             for i in np.flatnonzero(near >= cosine):
                 lcs = common_subsequence(seq, masks[i], len(words[i]))
                 if lcs >= PARAPHRASE * RUN:
-                    run = common_run(p, words[i]) if lcs >= RUN else 0
+                    run = common_run(seq, places[i]) if lcs >= RUN else 0
                     if run >= RUN or lcs >= PARAPHRASE * len(p):
                         yield doc_id, ids[i], run, lcs, float(near[i])
 

@@ -68,7 +68,7 @@ def test_common_lengths():
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert L.common_subsequence(a, masks, len(b)) == table[-1][-1]
         runs = max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, 30) if i + k <= len(a) and j + k <= len(b) and a[i : i + k] == b[j : j + k]), default=0)
-        assert L.common_run(np.array(a), np.array(b)) == runs
+        assert L.common_run(a, L.places_of(b)) == runs
 
 
 def test_words():
