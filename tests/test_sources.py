@@ -134,7 +134,7 @@ def test_git_and_facade(spark, tree, tmp_path):
     assert gitio.commit_changes(spark, str(tree), first).count() > 5  # against the empty tree
     with pytest.raises(gitio.GitError):
         gitio.commit_changes(spark, str(tree), second, "0" * 40)
-    resolved, sides = repo.commit_impact(second)
+    resolved, sides = repo.commit_impact(second, max_depth=2)
     assert {r.id for r in sides["before"].impacted.filter("target = 'src/c.ts'").collect()} == {"src/a.ts", "src/b.ts"}
     assert {r.id for r in sides["after"].impacted.filter("target = 'src/c.ts'").collect()} == {"src/bb.ts", "src/d.ts"}
     assert repo.restore() == 2 and repo.history(1) == [2] and repo.entities(limit=1).count() == 1
