@@ -33,21 +33,23 @@ def adjacency(edges: DataFrame, direction: str) -> DataFrame:
     return {"dependents": against, "dependencies": along, "connected": against.unionByName(along)}[direction].filter("at <> next").distinct()
 
 
-def traverse(edges: DataFrame, starts: DataFrame, direction: str = "dependents", max_depth: int = DEFAULT_DEPTH, max_entities: int | None = DEFAULT_ENTITIES) -> Traversal:
+def traverse(edges: DataFrame, starts: DataFrame, direction: str = "dependents", max_depth: int = DEFAULT_DEPTH, max_entities: int | None = DEFAULT_ENTITIES, with_paths: bool = True) -> Traversal:
     """Breadth first from each row of ``starts`` (target: its id).
 
     A node's depth is the least number of edges, its predecessor the first in queue order (level order, then the
     predecessor's place, then the id). The first ``max_entities`` nodes in that order hold; what comes next is the
     truncation. Where depth ends first, the first unvisited neighbour is. Start nodes are never results. Null ids are ignored.
+    Without ``with_paths`` the nodes have no path, which is most of what a deep traversal writes.
     """
+    held = ["path"] if with_paths else []
     adj = cut(adjacency(edges, direction))
     frontier = starts.filter(F.col("target").isNotNull()).select("target", F.col("target").alias("id")).distinct()
-    visited = frontier.select("target", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("predecessor"), F.lit(0).cast("bigint").alias("rank"), F.array("id").alias("path"))
+    visited = frontier.select("target", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("predecessor"), F.lit(0).cast("bigint").alias("rank"), *[F.array("id").alias(c) for c in held])
     visited = cut(visited)
     frontier, done, truncations = visited, visited.filter("false"), None
     for depth in range(1, max_depth + 2):
-        ahead = frontier.alias("f").join(adj, F.col("f.id") == F.col("at")).select("target", F.col("next").alias("id"), F.struct("f.rank", "f.id", "f.path").alias("via"))
-        fresh = ahead.join(visited.select("target", "id"), ["target", "id"], "left_anti").groupBy("target", "id").agg(F.min(F.struct("via.rank", "via.id", "via.path")).alias("via"))
+        ahead = frontier.alias("f").join(adj, F.col("f.id") == F.col("at")).select("target", F.col("next").alias("id"), F.struct("f.rank", "f.id", *[f"f.{c}" for c in held]).alias("via"))
+        fresh = ahead.join(visited.select("target", "id"), ["target", "id"], "left_anti").groupBy("target", "id").agg(F.min("via").alias("via"))
         if depth > max_depth:
             beyond = fresh.groupBy("target").agg(F.min_by("id", F.struct("via.rank", "id")).alias("at"))
             cutoff = beyond.select("target", F.lit("max-depth").alias("kind"), F.lit(max_depth).alias("limit"), "at")
@@ -56,7 +58,8 @@ def traverse(edges: DataFrame, starts: DataFrame, direction: str = "dependents",
         order = Window.partitionBy("target").orderBy("via.rank", "id")
         placed = frontier.groupBy("target").agg(F.max("rank").alias("last"))
         fresh = fresh.join(placed, "target").select(
-            "target", "id", F.lit(depth).alias("depth"), F.col("via.id").alias("predecessor"), (F.col("last") + F.row_number().over(order)).cast("bigint").alias("rank"), F.concat("via.path", F.array("id")).alias("path")
+            "target", "id", F.lit(depth).alias("depth"), F.col("via.id").alias("predecessor"), (F.col("last") + F.row_number().over(order)).cast("bigint").alias("rank"),
+            *[F.concat(f"via.{c}", F.array("id")).alias(c) for c in held],
         )
         fresh = cut(fresh)
         if max_entities is not None:

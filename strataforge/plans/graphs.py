@@ -48,6 +48,8 @@ QUERIES = {
     "resolve_specifiers": lambda s, d: _resolve(s, d),
     "reach_depth_batch": lambda s, d: T.traverse(I.repo_edges(s, d).select(_key("src").alias("src"), _key("dst").alias("dst")), _targets(s, d), "dependents", 8, None).nodes.select("target", "id", "depth"),
     "reach_dependencies": lambda s, d: T.traverse(I.repo_edges(s, d).select(_key("src").alias("src"), _key("dst").alias("dst")), _targets(s, d), "dependencies", 3, None).nodes.select("target", "id", "depth"),
+    "reach_dependencies_whole": lambda s, d: _dependencies(s, d).nodes.select("target", "id", "depth"),
+    "reach_dependencies_truncations": lambda s, d: _dependencies(s, d).truncations,
     "canonical_paths": lambda s, d: T.canonical_paths(T.traverse(I.repo_edges(s, d).select(_key("src").alias("src"), _key("dst").alias("dst")), _targets(s, d)).nodes, 3),
     "dirty_closure": lambda s, d: T.dirty_closure(_generation(s, d, None, "1993-01-01"), _generation(s, d, "1998-10-01", None), table(s, d, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("part-"), "s_suppkey").alias("id"))),
     "circular_dependencies": lambda s, d: C.cycles(_half_year(s, d)),
@@ -65,6 +67,12 @@ def _targets(s: SparkSession, d: str) -> DataFrame:
     return I.repo_edges(s, d).select(_key("dst").alias("target")).distinct()
 
 
+def _dependencies(s: SparkSession, d: str) -> T.Traversal:
+    """All that the targets reach, down to the operator's hard bound; its truncations tell of targets that reach further."""
+    edges = I.repo_edges(s, d).select(_key("src").alias("src"), _key("dst").alias("dst"))
+    return T.traverse(edges, _targets(s, d), "dependencies", T.HARD_DEPTH, None, with_paths=False)
+
+
 def _generation(s: SparkSession, d: str, since: str | None, before: str | None) -> DataFrame:
     from pyspark.sql import Window
 
@@ -131,6 +139,7 @@ SQL = {
       SELECT src, dst FROM old WHERE NOT (src LIKE '%7' AND src IN (SELECT id FROM nodes)) AND dst IN (SELECT id FROM nodes) UNION ALL SELECT src, dst FROM new WHERE src LIKE '%7'""",
     "reach_depth_batch": _reach("dependents", 8),
     "reach_dependencies": _reach("dependencies", 3),
+    "reach_dependencies_whole": _reach("dependencies", T.HARD_DEPTH),
     "dirty_closure": f"""WITH RECURSIVE {_GEN}, adj AS (SELECT src, dst FROM gen WHERE l_shipdate < DATE '1993-01-01' OR l_shipdate >= DATE '1998-10-01'), both_ways AS (SELECT src, dst FROM adj UNION SELECT dst, src FROM adj),
       walk AS (SELECT 'part-' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 3 UNION SELECT b.dst FROM walk w JOIN both_ways b ON w.id = b.src) SELECT id FROM walk""",
     "graph_components": BASE.replace("WITH held_manifest", "WITH RECURSIVE held_manifest", 1)
