@@ -7,14 +7,19 @@ cycle), components are labelled by distributed label propagation, and each compo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.runtime import cut
 
+#: Ids out of which one Arrow batch of chains is made.
+OUT_IDS = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): weakly connected components by least label, with pointer jumping (logarithmic in the diameter)."""
@@ -44,35 +49,71 @@ def trim(edges: DataFrame) -> DataFrame:
         held, size = less, now
 
 
-def search(adjacent: dict[str, list[str]]) -> list[tuple[str, ...]]:
-    """Stack slices at back edges, each as its smallest rotation, once."""
-    state: dict[str, int] = {}
-    found: set[tuple[str, ...]] = set()
+def walk(adjacent: dict[int, list[int]], n: int) -> Iterator[np.ndarray]:
+    """Stack slices at back edges of ``n`` numbered nodes, each as its smallest rotation with its start repeated at the end.
+
+    Each edge is met once and each slice has one back edge, so none comes twice and none is held.
+    """
+    state, place = bytearray(n), [0] * n
+    stack = np.empty(n + 1, dtype=np.int32)
     for start in sorted(adjacent):
-        if state.get(start):
+        if state[start]:
             continue
-        stack, place = [start], {start: 0}
-        walk = [iter(adjacent[start])]
-        state[start] = 1
-        while walk:
-            for nxt in walk[-1]:
-                seen = state.get(nxt, 0)
-                if seen == 1:
-                    cycle = stack[place[nxt] :]
-                    k = cycle.index(min(cycle))
-                    found.add(tuple(cycle[k:] + cycle[:k]))
-                elif not seen:
-                    state[nxt] = 1
-                    place[nxt] = len(stack)
-                    stack.append(nxt)
-                    walk.append(iter(adjacent.get(nxt, [])))
+        stack[0], place[start], state[start] = start, 0, 1
+        steps = [iter(adjacent[start])]
+        while steps:
+            for nxt in steps[-1]:
+                if state[nxt] == 1:
+                    cycle = stack[place[nxt] : len(steps)]
+                    k = int(cycle.argmin())
+                    yield np.concatenate((cycle[k:], cycle[: k + 1]))
+                elif not state[nxt]:
+                    state[nxt], place[nxt] = 1, len(steps)
+                    stack[len(steps)] = nxt
+                    steps.append(iter(adjacent.get(nxt, ())))
                     break
             else:
-                walk.pop()
-                done = stack.pop()
-                del place[done]
-                state[done] = 2
-    return sorted(found, key=lambda c: (len(c), c))
+                steps.pop()
+                state[stack[len(steps)]] = 2
+
+
+def _numbered(edges: Iterable[tuple[str, str]]) -> tuple[list[str], dict[int, list[int]]]:
+    """Names in order, and the ordered targets of each source by their numbers."""
+    pairs = sorted(set(edges))
+    names = sorted({x for p in pairs for x in p})
+    number = {x: i for i, x in enumerate(names)}
+    adjacent: dict[int, list[int]] = {}
+    for s, d in pairs:
+        adjacent.setdefault(number[s], []).append(number[d])
+    return names, adjacent
+
+
+def search(adjacent: dict[str, list[str]]) -> list[tuple[str, ...]]:
+    """All cycles of one graph, shortest first."""
+    names, numbers = _numbered((s, d) for s, ds in adjacent.items() for d in ds)
+    return sorted((tuple(names[i] for i in c[:-1]) for c in walk(numbers, len(names))), key=lambda c: (len(c), c))
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Closed chains of (component, src, dst) rows ordered by component, in batches of bounded length."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        names, adjacent = _numbered((s, d) for _, s, d in group)
+        table = pa.array(names, type=pa.string())
+
+        def pack(held: list[np.ndarray], table=table) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), table.take(pa.array(np.concatenate(held))))], ["chain"])
+
+        held, size = [], 0
+        for chain in walk(adjacent, len(names)):
+            held.append(chain)
+            size += len(chain)
+            if size >= OUT_IDS:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
 
 
 def cycles(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -85,20 +126,14 @@ def cycles(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     own = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys], F.lit(""))
     flat = e.select(F.concat(own, F.col("src")).alias("src"), F.concat(own, F.col("dst")).alias("dst")) if keys else e.select("src", "dst")
     left = trim(flat)
-    selfs = left.filter("src = dst").select(F.array("src").alias("chain"))
-    label = components(left)
-    parts = left.join(label.withColumnRenamed("id", "src"), "src")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        adjacent: dict[str, list[str]] = {}
-        for s, d in sorted(zip(frame.src, frame.dst, strict=True)):
-            adjacent.setdefault(s, []).append(d)
-        return pd.DataFrame({"chain": [list(c) for c in search(adjacent)]}, columns=["chain"])
-
-    found = parts.groupBy("component").applyInPandas(one, "chain array<string>").unionByName(selfs).distinct()
+    label = components(left).withColumnRenamed("id", "src")
+    alone = left.filter("src = dst").join(label, "src", "left_anti").select(F.array("src", "dst").alias("chain"))
+    parts = left.join(label, "src").select("component", "src", "dst").repartition("component").sortWithinPartitions("component")
+    found = parts.mapInArrow(_chains, "chain array<string>").unionByName(alone)
+    length = (F.size("chain") - 1).alias("length")
     if not keys:
-        return found.select(F.concat("chain", F.slice("chain", 1, 1)).alias("chain"), F.size("chain").alias("length"))
+        return found.select("chain", length)
     bare = F.transform("chain", lambda c: F.element_at(F.split(c, "\x1f"), -1))
     types = dict(edges.dtypes)
     named = [F.split_part(F.element_at("chain", 1), F.lit("\x1f"), F.lit(i + 1)).cast(types[k]).alias(k) for i, k in enumerate(keys)]
-    return found.select(*named, F.concat(bare, F.slice(bare, 1, 1)).alias("chain"), F.size("chain").alias("length"))
+    return found.select(*named, bare.alias("chain"), length)

@@ -18,17 +18,6 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_edges(I.raw_edges(spark, d).unionByName(I.external_edges(spark, d)))
 
 
-def _half_year(spark: SparkSession, d: str) -> DataFrame:
-    """Part edges of the lines shipped in the first half of 1996: sparse enough to hold distinct cycles."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    li = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", F.lead("l_partkey").over(w).alias("to"))
-    span = F.col("l_shipdate").between("1996-01-01", "1996-06-30 23:59:59.999999")
-    part = lambda c: F.concat(F.lit("part-"), F.col(c))
-    return li.filter(span & F.col("to").isNotNull()).select(part("l_partkey").alias("src"), part("to").alias("dst")).distinct()
-
-
 _MODULE_SQL = "CASE WHEN regexp_extract({0}, '^((?:packages|apps)/[^/]+)', 1) <> '' THEN regexp_extract({0}, '^((?:packages|apps)/[^/]+)', 1) WHEN split_part({0}, '/', 1) <> '' AND NOT contains(split_part({0}, '/', 1), '.') THEN split_part({0}, '/', 1) ELSE 'root' END"
 
 QUERIES = {
@@ -52,7 +41,8 @@ QUERIES = {
     "reach_dependencies_truncations": lambda s, d: _dependencies(s, d).truncations,
     "canonical_paths": lambda s, d: T.canonical_paths(T.traverse(I.repo_edges(s, d).select(_key("src").alias("src"), _key("dst").alias("dst")), _targets(s, d)).nodes, 3),
     "dirty_closure": lambda s, d: T.dirty_closure(_generation(s, d, None, "1993-01-01"), _generation(s, d, "1998-10-01", None), table(s, d, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("part-"), "s_suppkey").alias("id"))),
-    "circular_dependencies": lambda s, d: C.cycles(_half_year(s, d)),
+    "dirty_closure_whole": lambda s, d: T.dirty_closure(_generation(s, d, None, "1998-01-01"), _generation(s, d, "1998-01-01", None), _changed(s, d)),
+    "circular_dependencies": lambda s, d: C.cycles(_generation(s, d, None, None)),
     "repo_cycles": lambda s, d: C.cycles(I.repo_edges(s, d), ["repo_id"]),
     "graph_components": lambda s, d: C.components(I.repo_edges(s, d).select(_key("src").alias("src"), _key("dst").alias("dst"))),
 }
@@ -73,6 +63,10 @@ def _dependencies(s: SparkSession, d: str) -> T.Traversal:
     return T.traverse(edges, _targets(s, d), "dependencies", T.HARD_DEPTH, None, with_paths=False)
 
 
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("part-"), "s_suppkey").alias("id"))
+
+
 def _generation(s: SparkSession, d: str, since: str | None, before: str | None) -> DataFrame:
     from pyspark.sql import Window
 
@@ -142,6 +136,8 @@ SQL = {
     "reach_dependencies_whole": _reach("dependencies", T.HARD_DEPTH),
     "dirty_closure": f"""WITH RECURSIVE {_GEN}, adj AS (SELECT src, dst FROM gen WHERE l_shipdate < DATE '1993-01-01' OR l_shipdate >= DATE '1998-10-01'), both_ways AS (SELECT src, dst FROM adj UNION SELECT dst, src FROM adj),
       walk AS (SELECT 'part-' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 3 UNION SELECT b.dst FROM walk w JOIN both_ways b ON w.id = b.src) SELECT id FROM walk""",
+    "dirty_closure_whole": f"""WITH RECURSIVE {_GEN}, both_ways AS (SELECT src, dst FROM gen UNION SELECT dst, src FROM gen),
+      walk AS (SELECT 'part-' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 3 UNION SELECT b.dst FROM walk w JOIN both_ways b ON w.id = b.src) SELECT id FROM walk""",
     "graph_components": BASE.replace("WITH held_manifest", "WITH RECURSIVE held_manifest", 1)
     + """, keyed AS (SELECT repo_id || '|' || src AS a, repo_id || '|' || dst AS b FROM repo_edges WHERE src <> dst), both_ways AS (SELECT a, b FROM keyed UNION SELECT b, a FROM keyed),
       walk AS (SELECT DISTINCT a AS id, a AS seen FROM both_ways UNION SELECT w.id, k.b FROM walk w JOIN both_ways k ON w.seen = k.a) SELECT id, min(seen) AS component FROM walk GROUP BY id""",

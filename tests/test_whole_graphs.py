@@ -1,7 +1,11 @@
 """Graph queries over whole graphs, against brute force on fixtures."""
 
+import datetime
+import random
+
 import pytest
 
+from strataforge.operators import cycles as C
 from strataforge.plans import graphs
 from strataforge.plans import inputs as I
 from tests.conftest import rows
@@ -15,3 +19,48 @@ def test_reach_dependencies_goes_to_the_end(spark, monkeypatch, length):
     assert got == sorted(((f"1|f{i:02d}", f"1|f{j:02d}", j - i) for i in range(1, length) for j in range(i + 1, min(length, i + 32) + 1)), key=str)
     cuts = rows(graphs.QUERIES["reach_dependencies_truncations"](spark, ""))
     assert cuts == [(f"1|f{i:02d}", "max-depth", 32, f"1|f{i + 33:02d}") for i in range(1, length - 32)]
+
+
+def _lines(spark, monkeypatch):
+    """Four orders of three lines; the line of 2000 closes the cycle 1-2-3, the order of 1995 leads to part 9."""
+    day = lambda y: datetime.datetime(y, 2, 1)
+    parts = [(1, 1, 1996), (1, 2, 1996), (1, 3, 1996), (2, 3, 2000), (2, 1, 2000), (3, 2, 1995), (3, 8, 1997), (3, 9, 1999), (4, 20, 1996), (4, 21, 1996), (4, 21, 1996)]
+    held = spark.createDataFrame([(o, n, p, 1, 1.0, day(y)) for n, (o, p, y) in enumerate(parts)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp_ntz")
+    tables = {"lineitem": held, "supplier": spark.createDataFrame([(1,), (7,)], "s_suppkey long")}
+    monkeypatch.setattr(graphs, "table", lambda s, d, name: tables[name])
+
+
+def test_circular_dependencies_over_all_lines(spark, monkeypatch):
+    _lines(spark, monkeypatch)
+    assert rows(graphs.QUERIES["circular_dependencies"](spark, "")) == [(["part-1", "part-2", "part-3", "part-1"], 3), (["part-21", "part-21"], 1)]
+
+
+def test_dirty_closure_over_both_generations(spark, monkeypatch):
+    _lines(spark, monkeypatch)
+    assert rows(graphs.QUERIES["dirty_closure_whole"](spark, "")) == [(f"part-{p}",) for p in (1, 2, 3, 8, 9)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycle_search_against_a_plain_recursion(seed):
+    rng = random.Random(seed)
+    edges = sorted({(f"n{rng.randrange(12):02d}", f"n{rng.randrange(12):02d}") for _ in range(30)})
+    stack, done, want = [], set(), set()
+
+    def visit(x):
+        stack.append(x)
+        for y in (d for s, d in edges if s == x):
+            if y in stack:
+                c = stack[stack.index(y) :]
+                k = c.index(min(c))
+                want.add(tuple(c[k:] + c[:k]))
+            elif y not in done:
+                visit(y)
+        done.add(stack.pop())
+
+    for s in sorted({s for s, _ in edges}):
+        if s not in done:
+            visit(s)
+    adjacent = {}
+    for s, d in edges:
+        adjacent.setdefault(s, []).append(d)
+    assert C.search(adjacent) == sorted(want, key=lambda c: (len(c), c))
