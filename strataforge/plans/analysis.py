@@ -111,6 +111,9 @@ QUERIES = {
     "risk_orphan": lambda s, d: K.orphan_files(I.repo_files(s, d), I.repo_edges(s, d)),
     "risk_unstable": lambda s, d: K.unstable_modules(I.raw_edges(s, d).filter("type = 'import'").select(F.lit(1).alias("repo_id"), "src", "dst").distinct()),
     "risk_barrel": lambda s, d: K.barrel_explosion(_barrels(s, d)),
+    "barrel_pattern_whole": lambda s, d: K.barrel_pattern(_exports(s, d), KEYS).select("repo_id", "file_count", "re_exports"),
+    "risk_unstable_whole": lambda s, d: K.unstable_modules(I.raw_edges(s, d).select(F.lit(1).alias("repo_id"), "src", "dst").distinct()),
+    "risk_barrel_whole": lambda s, d: K.barrel_explosion(_exports(s, d)),
     "all_risks": _q("risks"),
     "importance": lambda s, d: (lambda x: S.importance(x.files, x.edges, x.nodes).select("repo_id", "path", "in_degree", "out_degree", F.round("importance", 6).alias("importance")))(_Set(s, d)),
     "entity_roles": lambda s, d: I.repo_files(s, d).select("repo_id", "path", S.role("path").alias("role")),
@@ -248,6 +251,9 @@ SQL = {
     "risk_orphan": BASE + f", z AS ({_ORPHAN}) SELECT * FROM z",
     "risk_unstable": BASE + f", ie AS (SELECT DISTINCT 1 AS repo_id, src, dst FROM raw_edges WHERE type = 'import'), z AS ({_unstable('ie')}) SELECT * FROM z",
     "risk_barrel": BASE + f", z AS (SELECT src AS path, count(*) AS n FROM raw_edges WHERE type = 're-export' GROUP BY src) SELECT 1 AS repo_id, {_rid('barrel-explosion', 'path')} AS id, 'barrel-explosion' AS type, CASE WHEN n >= 30 THEN 'high' ELSE 'medium' END AS severity, [path] AS affected, n::DOUBLE AS measured FROM z WHERE n >= 15",
+    "barrel_pattern_whole": BASE + _EXPORTS + ", z AS (SELECT path, count(*) AS n FROM exports GROUP BY path HAVING bool_and(kind = 're-export')) SELECT 1 AS repo_id, count(*) AS file_count, sum(n)::BIGINT AS re_exports FROM z HAVING count(*) > 0",
+    "risk_unstable_whole": BASE + f", ie AS (SELECT DISTINCT 1 AS repo_id, src, dst FROM raw_edges), z AS ({_unstable('ie')}) SELECT * FROM z",
+    "risk_barrel_whole": BASE + _EXPORTS + f", z AS (SELECT path, count(*) AS n FROM exports GROUP BY path HAVING bool_and(kind = 're-export')) SELECT 1 AS repo_id, {_rid('barrel-explosion', 'path')} AS id, 'barrel-explosion' AS type, CASE WHEN n >= 30 THEN 'high' ELSE 'medium' END AS severity, [path] AS affected, n::DOUBLE AS measured FROM z WHERE n >= 15",
     "all_risks": BASE + _RISKS + "SELECT * FROM risks",
     "importance": BASE + _IMP + "SELECT repo_id, path, in_degree, out_degree, round(importance, 6) AS importance FROM imp",
     "entity_roles": BASE + _ROLES + "SELECT * FROM roles",
