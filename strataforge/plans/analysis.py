@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.functions import paths as P
 from strataforge.operators import architecture as A
+from strataforge.operators import cycles as C
 from strataforge.operators import graph as G
 from strataforge.operators import impact as IM
 from strataforge.operators import integrity as U
@@ -29,14 +32,29 @@ class _Set:
         self.nodes = self.files.select("repo_id", F.col("path").alias("id"), F.lit("file").alias("kind"))
         self.layers = A.infer_layers(self.files, KEYS)
         self.exports = _exports(s, d)
-        self.risks = K.all_risks([K.high_complexity(self.files), K.large_file(self.files), K.orphan_files(self.files, self.edges), K.unstable_modules(self.edges)])
-        self.entities = S.entities(self.files, self.edges, self.nodes, self.layers, self.risks)
         self.domains, self.capabilities = S.domains(self.files), S.capabilities(self.files)
         self.signals = A.signals(self.files, self.edges, KEYS)
         self.best = A.best_pattern(A.score_patterns(self.signals, KEYS), KEYS)
-        self.exposure = N.risk_exposure(self.risks)
+
+    @cached_property
+    def risks(self) -> DataFrame:
+        """Risks of the repositories' files; these have no exports, so no barrels."""
+        imports = self.edges.groupBy("repo_id", F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("n_imports"))
+        cycles = K.cycle_risks(C.cycles(self.edges, KEYS), KEYS)
+        return K.all_risks([K.high_complexity(self.files), K.large_file(self.files), K.excessive_imports(imports), K.orphan_files(self.files, self.edges), K.unstable_modules(self.edges), cycles])
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return S.entities(self.files, self.edges, self.nodes, self.layers, self.risks)
+
+    @cached_property
+    def exposure(self) -> DataFrame:
+        return N.risk_exposure(self.risks)
+
+    @cached_property
+    def health(self) -> DataFrame:
         arch = self.best.join(self.layers.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_layers")), "repo_id", "left").select("repo_id", "confidence", "n_layers")
-        self.health = N.health(self.entities, arch, self.exposure)
+        return N.health(self.entities, arch, self.exposure)
 
 
 def _exports(s: SparkSession, d: str) -> DataFrame:

@@ -25,3 +25,14 @@ def test_barrels_have_re_exports_only(spark, monkeypatch):
     _raw(spark, monkeypatch)
     assert rows(analysis.QUERIES["barrel_pattern_whole"](spark, "")) == [(1, 1, 16)]
     assert rows(analysis.QUERIES["risk_barrel_whole"](spark, ""), "affected", "measured") == [(["barrel"], 16.0)]
+
+
+def test_all_risks_hold_cycles_and_excessive_imports(spark, monkeypatch):
+    paths = ["a.ts", "b.ts", *[f"x{i}.ts" for i in range(20)]]
+    files = spark.createDataFrame([(1, p, "typescript", 1, 10, 100) for p in paths], "repo_id int, path string, language string, complexity int, lines_of_code int, size int")
+    edges = spark.createDataFrame([(1, "a.ts", p) for p in paths[1:]] + [(1, "b.ts", "a.ts")], "repo_id int, src string, dst string")
+    monkeypatch.setattr(I, "repo_files", lambda s, d: files)
+    monkeypatch.setattr(I, "repo_edges", lambda s, d: edges)
+    monkeypatch.setattr(analysis, "_exports", lambda s, d: None)
+    got = rows(analysis.QUERIES["all_risks"](spark, ""), "type", "affected")
+    assert got == [("circular-dependency", ["a.ts", "b.ts"]), ("excessive-imports", ["a.ts"]), ("unstable-module", ["a.ts"])]
