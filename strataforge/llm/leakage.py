@@ -5,7 +5,7 @@ latent space; item windows near a passage by cosine are candidates. Candidates a
 longest common subsequence (paraphrases keep most words in order) and the longest common run.
 
 Only passages in which enough consecutive words are items' words can hold a run of an item, so no others are
-kept; this loses nothing. What reaches the driver or is broadcast is bounded by a block of items, never by the documents.
+kept; this loses no run, but paraphrases with a foreign word in every stretch of 12. There's no answer check. What reaches the driver or is broadcast is bounded by a block of items, never by the documents.
 """
 
 from __future__ import annotations
