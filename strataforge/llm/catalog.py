@@ -60,6 +60,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies and paraphrases."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.found(table(spark, sf_dir, "documents"))
 

@@ -1,11 +1,16 @@
 """Evaluation texts that leaked into documents, by latent semantic retrieval.
 
 Passages of documents and items become TF-IDF vectors over the items' words; a distributed randomised SVD gives a
-latent space; item windows near a passage by cosine are candidates. Candidates are checked word by word: the
-longest common subsequence (paraphrases keep most words in order) and the longest common run.
+latent space; item passages near a document's passage by cosine are candidates. Candidates are checked word by word:
 
-Only passages in which enough consecutive words are items' words can hold a run of an item, so no others are
-kept; this loses no run, but paraphrases with a foreign word in every stretch of 12. There's no answer check. What reaches the driver or is broadcast is bounded by a block of items, never by the documents.
+* a copy has RUN consecutive words in common with the item;
+* a paraphrase has PARAPHRASE of the words of some RUN consecutive item words in common order, and passes the answer check: of the
+  particulars among these (words that few documents and items hold: names, numbers, terms) at least ANSWER occur in the passage, MIN_PARTICULARS at least.
+  So a text of the same template about other things is none;
+* an item of fewer than RUN words leaks where all of it occurs as a run (MIN_ITEM words at least; fewer occur by chance).
+
+A passage is kept if it holds as many of the items' words as a paraphrase needs, which loses neither copies nor paraphrases (of up to
+PASSAGE - STEP + 1 words with what is put in between). What reaches the driver or is broadcast is bounded by a block of items, never by the documents.
 """
 
 from __future__ import annotations
@@ -14,7 +19,9 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import batched
+from math import ceil
 from functools import reduce
 
 import numpy as np
@@ -23,18 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions.rows import flat_map
-from strataforge.runtime import cut
-
-#: Consecutive words that make a leak; words of a passage (any run of RUN words lies in one whole passage).
-RUN, PASSAGE = 12, 24
-#: Latent dimensions, oversampling and power iterations of the randomised SVD.
-RANK, OVERSAMPLING, POWER = 128, 16, 2
-#: Cosine of a candidate; equal runs among other words reach 0.8 and more (README gives the measured recall).
-COSINE = 0.5
-#: Part of an item window's words in common order that makes a paraphrase.
-PARAPHRASE = 0.8
-#: Items of one block: vocabulary, item windows and latent vectors of a block are broadcast.
-BLOCK_ITEMS = 5000
+from strataforge.runtime import cores, cut
+
+#: Consecutive words that make a leak; words of a passage, and words from one to the next (any PASSAGE - STEP + 1 words lie in a whole passage).
+RUN, PASSAGE, STEP = 12, 24, 8
+#: Latent dimensions, oversampling and power iterations of the randomised SVD, which is fitted on at most so many passages (those with the
+#: least remainders of a hash); all passages are searched.
+RANK, OVERSAMPLING, POWER, SAMPLE_PASSAGES = 128, 16, 2, 100_000
+#: Cosine of a candidate (README gives the lowest of a true pair and the measured recall).
+COSINE = 0.3
+#: Part of RUN item words in common order that makes a paraphrase; part of their particulars that must occur, and how many.
+PARAPHRASE, ANSWER, MIN_PARTICULARS = 0.8, 0.5, 2
+#: A particular is a word in at most this share of all documents and of all items of its block (or in one item).
+PARTICULAR_SHARE = 0.05
+MIN_ITEM = 4
+#: Words of the items of one block: its vocabulary, item passages and latent vectors are broadcast.
+BLOCK_WORDS = 100_000
+_NEEDED = ceil(PARAPHRASE * RUN)
 _SEED = 20240601
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--[\s\S]*?-->")
 _WORDS = re.compile(r"[^\W_]+")
@@ -54,61 +66,79 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """A block of items: their words as numbers and their windows."""
+    """A block of items: their words as numbers. Items of fewer than RUN words are ``short``: (words, id) by their first two words."""
 
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: dict[str, int]
+    short: dict[tuple[int, int], list[tuple[tuple[int, ...], int]]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
-        vocabulary: dict[str, int] = {}
-        ids, words = [], []
+        out = cls([], [], {})
         for item_id, text in rows:
             w = words_of(text)
+            if len(w) < MIN_ITEM:
+                continue
+            known = [out.vocabulary.setdefault(x, len(out.vocabulary)) for x in w]
             if len(w) >= RUN:
-                ids.append(item_id)
-                words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int32))
-        return cls(ids, words, vocabulary)
+                out.ids.append(item_id)
+                out.words.append(np.array(known, np.int32))
+            else:
+                out.short.setdefault((known[0], known[1]), []).append((tuple(known), item_id))
+        return out
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(item index, words) of all windows of RUN words."""
-        index = np.concatenate([np.full(len(w) - RUN + 1, i, np.int32) for i, w in enumerate(self.words)])
-        return index, np.concatenate([np.lib.stride_tricks.sliding_window_view(w, RUN) for w in self.words])
+    def passages(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(item index, words) of passages; any RUN words of an item lie in one."""
+        held = [(i, w[s : s + PASSAGE]) for i, w in enumerate(self.words) for s in range(0, max(1, len(w) - RUN + 1), PASSAGE - RUN)]
+        return np.array([i for i, _ in held], np.int32), [w for _, w in held]
 
 
 def passages_of(known: np.ndarray) -> Iterator[np.ndarray]:
-    """Passages of the word numbers of a text (-1: no item's word) that lie in runs of at least RUN items' words."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (known >= 0).view(np.int8), [0]])))
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if b - a >= RUN:
-            for s in range(a, max(a + 1, b - RUN + 1), PASSAGE - RUN):
-                yield known[s : min(b, s + PASSAGE)]
+    """Passages of the word numbers of a text (-1: no item's word) that hold at least as many items' words as a paraphrase."""
+    total = np.concatenate([[0], np.cumsum(known >= 0)])
+    starts = np.arange(0, max(1, len(known) - RUN + 1), STEP)
+    ends = np.minimum(starts + PASSAGE, len(known))
+    for k in np.flatnonzero(total[ends] - total[starts] >= _NEEDED).tolist():
+        yield known[starts[k] : ends[k]]
+
+
+def _whole(known: np.ndarray, short: dict) -> Iterator[tuple[int, int]]:
+    """(item, words) of short items that occur as a whole."""
+    w = known.tolist()
+    for i in range(len(w) - 1):
+        for words, item_id in short.get((w[i], w[i + 1]), ()):
+            if tuple(w[i : i + len(words)]) == words:
+                yield item_id, len(words)
 
 
-def _read(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """One scan of all texts: passages (doc_id, words) and, as rows without words, document counts of each items' word."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+def _read(documents: DataFrame, items: Items) -> DataFrame:
+    """One scan of all texts: passages (doc_id, words), whole short items (doc_id, item_id, n) and, as rows without either, document counts of each items' word."""
+    shared = documents.sparkSession.sparkContext.broadcast((items.vocabulary, items.short))
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        get, counts, n = shared.value.get, Counter(), 0
+        vocabulary, short = shared.value
+        get, counts, n = vocabulary.get, Counter(), 0
         for doc_id, text in rows:
             known = np.array([get(w, -1) for w in words_of(text)], np.int32)
             n += 1
-            counts.update(np.unique(known).tolist())
+            counts.update(np.unique(known[known >= 0]).tolist())
             for p in {q.tobytes() for q in passages_of(known)}:
-                yield doc_id, p, None, 0
+                yield doc_id, p, None, None, 0
+            if short:
+                for item_id, length in set(_whole(known, short)):
+                    yield doc_id, None, None, item_id, length
         counts[-1] = n
         for word, k in counts.items():
-            yield None, None, word, k
+            yield None, None, word, None, k
 
-    return flat_map(documents.filter(F.length("text") > 0), ["doc_id", "text"], each, "doc_id bigint, words binary, word int, n bigint")
+    return flat_map(documents.filter(F.length("text") > 0), ["doc_id", "text"], each, "doc_id bigint, words binary, word int, item_id bigint, n bigint")
 
 
 def _vectors(passages: list[np.ndarray], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for p in passages:
-        ids, tf = np.unique(p, return_counts=True)
+        ids, tf = np.unique(p[p >= 0], return_counts=True)
         v = tf * idf[ids]
         out.append((ids, v / max(1e-12, np.sqrt(v @ v))))
     return out
@@ -148,10 +178,10 @@ def _product(passages: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
     return g
 
 
-def latent_space(passages: DataFrame, windows: list[np.ndarray], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (words x rank) of the stacked TF-IDF rows of ``passages`` and item ``windows``."""
+def latent_space(passages: DataFrame, own_passages: list[np.ndarray], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (words x rank) of the stacked TF-IDF rows of ``passages`` and the items' ``own_passages``."""
     n, l = len(idf), min(len(idf), rank + OVERSAMPLING)
-    own = _vectors(windows, idf)
+    own = _vectors(own_passages, idf)
     q = np.random.default_rng(_SEED).standard_normal((n, l))
     for step in range(POWER + 1):
         g = _product(passages, idf, q)
@@ -193,64 +223,120 @@ def common_run(a: list[int], places: dict[int, list[int]]) -> int:
     return best
 
 
+def _sample(passages: DataFrame) -> DataFrame:
+    """At most about SAMPLE_PASSAGES passages, whichever order or partitions they come in, in few tasks: each task of a product emits a whole matrix."""
+    every = max(1, -(-passages.count() // SAMPLE_PASSAGES))
+    return cut(passages.filter(F.pmod(F.xxhash64("words"), F.lit(every)) == 0).select("words").repartition(min(64, cores(passages.sparkSession))))
+
+
+class Checker:
+    """Whether a passage holds a copy or a paraphrase of an item. Positions of an item's words are built when it's first a candidate."""
+
+    def __init__(self, words: list[np.ndarray], particular: np.ndarray):
+        self.words, self.particular = words, particular
+        self._places: dict[int, dict[int, list[int]]] = {}
+        self._masks: dict[int, dict[int, int]] = {}
+
+    def _of(self, i: int) -> tuple[dict[int, list[int]], dict[int, int]]:
+        if i not in self._places:
+            places = places_of(self.words[i].tolist())
+            self._places[i], self._masks[i] = places, {x: sum(1 << k for k in at) for x, at in places.items()}
+        return self._places[i], self._masks[i]
+
+    def check(self, i: int, passage: list[int]) -> tuple[bool, int, int, float] | None:
+        """(whether it's a copy, consecutive words, words in common order, part of the particulars) where item ``i`` leaks into ``passage``."""
+        places, masks = self._of(i)
+        if common_subsequence(passage, masks, len(self.words[i])) < _NEEDED:
+            return None
+        run = common_run(passage, places)
+        if run >= RUN:
+            return True, run, run, 1.0
+        best, held = None, set(passage)
+        full = (1 << RUN) - 1
+        for start in range(len(self.words[i]) - RUN + 1):
+            window = self.words[i][start : start + RUN].tolist()
+            answers = {w for w in window if self.particular[w]}
+            if len(answers) < MIN_PARTICULARS or len(answers & held) < max(MIN_PARTICULARS, ANSWER * len(answers)):
+                continue
+            if sum(w in held for w in window) < _NEEDED:
+                continue
+            common = common_subsequence(passage, {w: masks[w] >> start & full for w in window}, RUN)
+            if common >= _NEEDED:
+                best = max(best or (False, 0, 0, 0.0), (False, run, common, len(answers & held) / len(answers)))
+        return best
+
+
 def _block_leaks(documents: DataFrame, items: Items, cosine: float) -> DataFrame:
     context = documents.sparkSession.sparkContext
-    read = cut(_read(documents, items.vocabulary))
-    counts = {r.word: r.n for r in read.filter("words IS NULL").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
+    read = cut(_read(documents, items))
+    counts = {r.word: r.n for r in read.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
     n = counts.pop(-1, 0)
-    idf = np.array([np.log1p((n + 1) / (1 + counts.get(i, 0))) for i in range(len(items.vocabulary))])
+    seen = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))], np.int64)
+    short = read.filter("item_id IS NOT NULL").select("doc_id", "item_id", F.lit(True).alias("copied"), *[F.col("n").cast("int").alias(c) for c in ("run_words", "common_words")], *[F.lit(1.0).alias(c) for c in ("answers", "cosine")])
+    if not items.ids:
+        return short.distinct()
+    shared_by = np.bincount(np.concatenate([np.unique(w) for w in items.words]), minlength=len(seen))
+    particular = (seen <= PARTICULAR_SHARE * n) & (shared_by <= max(1, PARTICULAR_SHARE * len(items.words)))
+    idf = np.log1p((n + 1) / (1 + seen))
     passages = read.filter("words IS NOT NULL").select("doc_id", "words")
-    index, windows = items.windows()
-    space = latent_space(passages, list(windows), idf)
-    window_vectors = np.zeros((len(windows), space.shape[1]), np.float32)
-    for i, (ids, v) in enumerate(_vectors(list(windows), idf)):
-        window_vectors[i] = v @ space[ids]
-    window_vectors /= np.maximum(1e-9, np.linalg.norm(window_vectors, axis=1, keepdims=True))
+    index, own = items.passages()
+    space = latent_space(_sample(passages), own, idf)
+    vectors = np.stack([v @ space[ids] for ids, v in _vectors(own, idf)]).astype(np.float32)
+    vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
     starts = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1])
-    shared = context.broadcast((items.ids, items.words, idf, space, window_vectors, starts))
+    shared = context.broadcast((items.ids, items.words, idf, particular, space, vectors, starts))
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        ids, words, idf, space, vectors, starts = shared.value
-        masks: list[dict[int, int]] = []
-        places = [places_of(w.tolist()) for w in words]
-        for held in places:
-            masks.append({x: sum(1 << i for i in at) for x, at in held.items()})
-        for doc_id, raw in rows:
-            p = np.frombuffer(raw, np.int32)
-            (own, v), = _vectors([p], idf)
-            latent = v @ space[own]
-            near = np.maximum.reduceat(vectors @ (latent / max(1e-9, np.linalg.norm(latent))).astype(np.float32), starts)
-            seq = p.tolist()
-            for i in np.flatnonzero(near >= cosine):
-                lcs = common_subsequence(seq, masks[i], len(words[i]))
-                if lcs >= PARAPHRASE * RUN:
-                    run = common_run(seq, places[i]) if lcs >= RUN else 0
-                    if run >= RUN or lcs >= PARAPHRASE * len(p):
-                        yield doc_id, ids[i], run, lcs, float(near[i])
-
-    found = flat_map(passages, ["doc_id", "words"], each, "doc_id bigint, item_id bigint, run_words int, common_words int, cosine float")
-    return found.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("common_words").alias("common_words"), F.max("cosine").alias("cosine"))
+        ids, words, idf, particular, space, vectors, starts = shared.value
+        checker = Checker(words, particular)
+        held = ((doc_id, p) for doc_id, raw in rows for p in [np.frombuffer(raw, np.int32)] if _may_leak(p, particular))
+        for batch in batched(held, _ROW_BLOCK):
+            latent = np.stack([v @ space[own] for own, v in _vectors([p for _, p in batch], idf)]).astype(np.float32)
+            latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
+            near = np.maximum.reduceat(latent @ vectors.T, starts, axis=1)
+            for k, i in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+                doc_id, p = batch[k]
+                leak = checker.check(i, p.tolist())
+                if leak:
+                    yield doc_id, ids[i], *leak, float(near[k, i])
+
+    found = flat_map(passages, ["doc_id", "words"], each, _SCHEMA).unionByName(short)
+    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("copied", "run_words", "common_words", "answers", "cosine")])
+
+
+_SCHEMA = "doc_id bigint, item_id bigint, copied boolean, run_words int, common_words int, answers double, cosine double"
+
+
+def _may_leak(p: np.ndarray, particular: np.ndarray) -> bool:
+    """Whether a passage holds enough particulars for a paraphrase, or a run of items' words for a copy."""
+    known = p >= 0
+    if np.count_nonzero(particular[p[known]]) >= MIN_PARTICULARS:
+        return True
+    gaps = np.flatnonzero(~np.concatenate([[False], known, [False]]))
+    return bool(np.max(np.diff(gaps)) > RUN)
 
 
 def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(doc_id, item_id, run_words, common_words, cosine): passages of items in documents.
+    """(doc_id, item_id, kind, run_words, common_words, answers, cosine): passages of items in documents.
 
-    ``run_words`` counts consecutive words in common within a passage (at least RUN: a copy), ``common_words`` words in
-    common order (a paraphrase where the run is shorter). Null, empty and short texts hold nothing; an empty
-    item table gives an empty result. Items are taken in blocks of BLOCK_ITEMS.
+    ``kind`` is ``copy`` (``run_words`` consecutive words in common within a passage: at least RUN, or a whole shorter item) or
+    ``paraphrase`` (``common_words`` of RUN item words in common order, ``answers`` the part of their particulars found). Null, empty
+    and short texts hold nothing; an empty item table gives an empty result; of items with one id, the one with the greatest text
+    holds. Items are taken in blocks of about BLOCK_WORDS words (one longer item is a block), each by one scan of the documents.
     """
-    rows = items.filter(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_id", "text").dropDuplicates(["item_id"])
-    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    rows = items.filter(F.col("item_id").isNotNull() & (F.length("text") > 0)).groupBy("item_id").agg(F.max("text").alias("text"))
+    n_words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-int(n_words) // BLOCK_WORDS))
     parts = []
     for b in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         held = Items.of([(r.item_id, r.text) for r in part.orderBy("item_id").toLocalIterator()])
-        if held.ids:
+        if held.ids or held.short:
             parts.append(_block_leaks(documents, held, cosine))
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, run_words int, common_words int, cosine float")
-    return reduce(DataFrame.unionByName, parts)
+    out = reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], _SCHEMA)
+    return out.select("doc_id", "item_id", F.when(F.col("copied"), "copy").otherwise("paraphrase").alias("kind"), "run_words", "common_words", "answers", "cosine")
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of documents that hold RUN consecutive words of an item."""
     return leaks(documents, items).filter(F.col("run_words") >= RUN).select("doc_id", "item_id")

@@ -100,6 +100,70 @@ def test_leaks_against_brute_force(spark):
     assert L.found(d, q.limit(0)).count() == 0 and L.found(d.limit(0), q).count() == 0
 
 
+def _planted(rng):
+    """Items of a template with particulars, documents with paraphrases of them, texts of the same template about other things, and others."""
+    name = lambda: "".join(rng.choice(["ka", "lo", "mi", "ru", "te", "vo", "shi", "zu"]) for _ in range(4))
+    plain = "the server node of a graph and its weight must be rebuilt after every round while other tests are left alone for long".split()
+    text = lambda n: " ".join(rng.choice(plain) if rng.random() < 0.8 else name() for _ in range(n))
+    say = lambda: f"the server {name()} receives {rng.randrange(1000, 9999)} packets from {name()} and discards {rng.randrange(1000, 9999)} of them before {name()} wakes up again today"
+    items = [(i, " ".join(say() for _ in range(3))) for i in range(40)]
+    docs, planted = [(i, text(80)) for i in range(150)] + [(i, text(20) + " " + say() + " " + text(20)) for i in range(150, 200)], set()
+    for k in range(200, 320):
+        i, words = rng.choice(items)
+        w = words.split()[: 19 if k % 2 else None][rng.randrange(4) :]
+        for at in range(6, len(w), 9):
+            w[at : at + 1] = [w[at], "fremd"] if k % 3 else ["fremd"]  # a foreign word put in, or in place of another
+        docs.append((k, text(rng.randrange(40)) + ". " + " ".join(w) + ". " + text(10)))
+        planted.add((k, i))
+    return items, docs, planted
+
+
+def test_paraphrases_against_brute_force(spark):
+    items, docs, planted = _planted(random.Random(11))
+    items += [(900, "rare sparrow counts twelve"), (901, "two words"), (902, None)]
+    docs += [(900, "x. Rare <b>sparrow</b> counts, twelve! y"), (901, "two words"), (902, None), (903, "rare sparrow counted twelve")]
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in L.leaks(d.union(d), q).collect()}
+    held = L.Items.of([(i, t or "") for i, t in items])
+    number, n = held.vocabulary, len(docs) - 1
+    texts = [(k, [number.get(w, -1) for w in L.words_of(t)]) for k, t in docs]
+    seen = [0] * len(number)
+    for _, w in texts:
+        for x in set(w) - {-1}:
+            seen[x] += 1
+    owners = [0] * len(number)
+    for w in held.words:
+        for x in set(w.tolist()):
+            owners[x] += 1
+    particular = np.array([a <= L.PARTICULAR_SHARE * n and b <= max(1, L.PARTICULAR_SHARE * len(held.words)) for a, b in zip(seen, owners)])
+    checker, want = L.Checker(held.words, particular), {(900, 900): "copy"}
+    for k, w in texts:
+        for s in range(0, max(1, len(w) - L.RUN + 1), L.STEP):
+            for i, item_id in enumerate(held.ids):
+                leak = checker.check(i, w[s : s + L.PASSAGE])
+                if leak and want.get((k, item_id)) != "copy":
+                    want[k, item_id] = "copy" if leak[0] else "paraphrase"
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want) and got[900, 900] == "copy"
+    assert sum(p in got for p in planted) >= 0.9 * len(planted)
+    assert set(got) - {(900, 900)} <= planted  # no text of the same template about other things
+    assert sum(kind == "paraphrase" for kind in got.values()) > 50
+
+
+def test_leaks_in_several_blocks(spark, monkeypatch):
+    items, docs, _ = _planted(random.Random(12))
+    docs += [(1000 + i, f"x {t} y") for i, t in items[::4]]
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {tuple(r) for r in L.found(d, q).collect()}
+    monkeypatch.setattr(L, "BLOCK_WORDS", 1000)
+    assert whole == {tuple(r) for r in L.found(d, q).collect()} and whole
+
+
+def test_passages_keep_what_may_leak():
+    known = np.array([-1] * 50 + list(range(8)) + [-1] + list(range(8, 16)) + [-1] * 50, np.int32)
+    kept = list(L.passages_of(known))
+    assert any({*range(16)} <= set(p.tolist()) for p in kept) and all((p >= 0).sum() >= 10 for p in kept)
+
+
 POSITIVE = [
     "Hello {{ owner }}, the scan is ready.", "Owner: __owner__", "Total ${repository.name} files", "x <%= count %> y", "see @@PATH@@ now", "a %(total)s b", "in [[summary]] files", "$layer_name$", "<INSERT version HERE>", "[summary goes here]", "{risk_total} files",
     "Health stands at [object Object] of 100.", "The repository None holds undefined files.", "Lorem ipsum purus quam curae amet varius vel.", "Your description here.", "Sample text goes here.", "text text text text text text text", "404 Not Found", "Error code 502",
