@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataforge.llm import credentials, foreign_sources, function_docs, hidden_language, leakage, packing, parsing, residue
-from strataforge.runtime import table
+from strataforge.runtime import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = cut(packing.token_counts(table(spark, sf_dir, "documents")))
+    specs = table(spark, sf_dir, "pack_specs")
+    return packing.checks(sizes, cut(packing.packed(sizes, specs)), specs)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -84,6 +90,7 @@ _GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string
 def oracle_sql() -> dict[str, str]:
     words = lambda name, key: f"SELECT {key}, regexp_extract_all(lower({_PLAIN.format('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL"
     return {
+        "p7_checks": "SELECT spec_id, capacity_tokens, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_overfull, 0 AS n_loose, 0 AS n_split, 0 AS n_changed FROM pack_specs",
         "p8_found": f"WITH d AS ({words('documents', 'doc_id')}), i AS ({words('eval_items', 'item_id')}), di AS (SELECT doc_id, {_GRAMS} AS g FROM d WHERE len(w) >= 12), "
         f"ii AS (SELECT item_id, {_GRAMS} AS g FROM i WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM di JOIN ii USING (g)"
     }

@@ -23,21 +23,49 @@ def naive(sizes, keys, capacity):
     return sorted(map(int, rem))
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(60))
 def test_best_fit_against_a_plain_search(seed):
     rng = np.random.default_rng(seed)
     capacity = int(rng.integers(1, 70))
     sizes = rng.integers(0, capacity + 1, int(rng.integers(1, 150)))
+    if seed % 3 == 0:
+        sizes = rng.choice(sizes[:4], 150)
+    segments, boxes = K.plan(list(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True)), capacity)
     used = {}
-    for _, _, _, n, box, at in K.pack(sizes, np.arange(len(sizes)), capacity):
-        used.setdefault(box, []).append((at, n))
+    for i, n in enumerate(sorted(sizes.tolist(), reverse=True)):
+        first, each, box, position, size = segments[np.searchsorted(segments[:, 0], i, "right") - 1].tolist()
+        assert size == n
+        used.setdefault(box + (i - first) // each, []).append((position + (i - first) % each * n, n))
     for held in used.values():
         end = 0
         for at, n in sorted(held):
             assert at == end or n == 0
             end = max(end, at + n)
         assert end <= capacity
-    assert sorted(capacity - sum(n for _, n in v) for v in used.values()) == naive(sizes, range(len(sizes)), capacity)
+    assert len(used) == boxes and sorted(capacity - sum(n for _, n in v) for v in used.values()) == naive(sizes, range(len(sizes)), capacity)
+
+
+def test_hot_sizes_spread_over_tasks(spark):
+    """4,000 rows with a null id and one size: no task gets all of them, and the packing is that of one run."""
+    sizes = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(30).alias("n_tokens"))
+    specs = spark.createDataFrame([(1, 100)], "spec_id bigint, capacity_tokens int")
+    out = K.packed(sizes, specs)
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1
+    assert K.containers(out, specs).first().n_containers == -(-4000 // 3) and out.count() == 4000
+
+
+def test_long_items_and_checks(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, int(n)) for i, n in enumerate([0, 0, 16, 17, 32, 33, 400_000, *rng.integers(0, 60, 400)])]
+    sizes = spark.createDataFrame(data, "doc_id bigint, n_tokens bigint").repartition(5)
+    specs = spark.createDataFrame([(1, 16), (2, 64)], "spec_id bigint, capacity_tokens int")
+    out = K.packed(sizes, specs)
+    assert sorted(map(tuple, K.checks(sizes, out, specs).collect())) == [(1, 16, len(data), 0, 0, 0, 0), (2, 64, len(data), 0, 0, 0, 0)]
+    rest = [n % 16 if n > 16 else n for _, n in data if n <= 16 or n % 16]
+    assert {r.spec_id: r.n_containers for r in K.containers(out, specs).collect()}[1] == len(naive(rest, range(len(rest)), 16)) + sum(n // 16 for _, n in data if n > 16)
+    moved = out.withColumn("position", F.when(F.col("doc_id") == 30, F.col("position") + 1).otherwise(F.col("position")))
+    assert K.checks(sizes, moved, specs).agg(F.sum("n_loose")).first()[0] >= 1
+    assert K.checks(sizes, out.filter("piece < 3"), specs).agg(F.sum("n_changed")).first()[0] >= 1
 
 
 def test_packed_table(spark):
@@ -46,7 +74,7 @@ def test_packed_table(spark):
     sizes = K.token_counts(docs)
     n = {r.doc_id: r.n_tokens for r in sizes.collect()}
     assert n[2] == n[3] == 0 and n[1] == 3 and n[4] >= 50
-    out = K.packed(sizes, specs, shard_items=4).toPandas()
+    out = K.packed(sizes, specs).toPandas()
     assert set(out.spec_id) == {1, 2} and (out[out.spec_id == 2].groupby("doc_id").piece.max() == 0).all()
     small = out[(out.spec_id == 1) & (out.doc_id == 4)]
     assert small.n_tokens.sum() == 2 * n[4] and small.n_tokens.max() == 16 and sorted(set(small.piece)) == list(range(-(-n[4] // 16)))
