@@ -46,7 +46,7 @@ PARTICULAR_SHARE = 0.05
 MIN_ITEM = 4
 #: Words of the items of one block: its vocabulary, item passages and latent vectors are broadcast.
 BLOCK_WORDS = 100_000
-_NEEDED = ceil(PARAPHRASE * RUN)
+_NEEDED, _WINDOW = ceil(PARAPHRASE * RUN), (1 << RUN) - 1
 _SEED = 20240601
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--[\s\S]*?-->")
 _WORDS = re.compile(r"[^\W_]+")
@@ -230,39 +230,65 @@ def _sample(passages: DataFrame) -> DataFrame:
 
 
 class Checker:
-    """Whether a passage holds a copy or a paraphrase of an item. Positions of an item's words are built when it's first a candidate."""
+    """Whether a passage holds a copy or a paraphrase of an item. What is needed of an item's words is built when it's first a candidate."""
 
     def __init__(self, words: list[np.ndarray], particular: np.ndarray):
         self.words, self.particular = words, particular
-        self._places: dict[int, dict[int, list[int]]] = {}
-        self._masks: dict[int, dict[int, int]] = {}
+        self._held: dict[int, tuple] = {}
+        distinct = [np.unique(w) for w in words]
+        owner, word = np.concatenate([np.full(len(u), i) for i, u in enumerate(distinct)]), np.concatenate(distinct)
+        order = np.argsort(word, kind="stable")
+        #: which items hold a word
+        self._owners = np.split(owner[order], np.cumsum(np.bincount(word, minlength=len(particular)))[:-1])
+        #: runs of an item with too few particulars for a paraphrase, and whose they are
+        self._plain: dict[bytes, set[int]] = defaultdict(set)
+        for i, w in enumerate(words):
+            windows = np.lib.stride_tricks.sliding_window_view(w, RUN)
+            for k in np.flatnonzero(particular[windows].sum(axis=1) < 2 * MIN_PARTICULARS).tolist():
+                if len(set(windows[k][particular[windows[k]]].tolist())) < MIN_PARTICULARS:
+                    self._plain[windows[k].tobytes()].add(i)
+
+    def sharing(self, passage: np.ndarray) -> np.ndarray:
+        """Whether an item shares with the passage what a leak must: enough words, and particulars or a run without."""
+        known = passage[passage >= 0]
+        n = len(self.words)
+        if len(known) < _NEEDED:
+            return np.zeros(n, bool)
+        particulars = np.unique(known[self.particular[known]]).tolist()
+        out = np.bincount(np.concatenate([self._owners[w] for w in particulars]), minlength=n) >= MIN_PARTICULARS if particulars else np.zeros(n, bool)
+        if self._plain:
+            for k in range(len(passage) - RUN + 1):
+                for i in self._plain.get(passage[k : k + RUN].tobytes(), ()):
+                    out[i] = True
+        if out.any():
+            out &= np.bincount(np.concatenate([self._owners[w] for w in known.tolist()]), minlength=n) >= _NEEDED
+        return out
 
-    def _of(self, i: int) -> tuple[dict[int, list[int]], dict[int, int]]:
-        if i not in self._places:
+    def _of(self, i: int) -> tuple:
+        if i not in self._held:
             places = places_of(self.words[i].tolist())
-            self._places[i], self._masks[i] = places, {x: sum(1 << k for k in at) for x, at in places.items()}
-        return self._places[i], self._masks[i]
+            windows = np.lib.stride_tricks.sliding_window_view(self.words[i], RUN)
+            self._held[i] = places, {x: sum(1 << k for k in at) for x, at in places.items()}, windows
+        return self._held[i]
 
     def check(self, i: int, passage: list[int]) -> tuple[bool, int, int, float] | None:
         """(whether it's a copy, consecutive words, words in common order, part of the particulars) where item ``i`` leaks into ``passage``."""
-        places, masks = self._of(i)
+        places, masks, windows = self._of(i)
         if common_subsequence(passage, masks, len(self.words[i])) < _NEEDED:
             return None
         run = common_run(passage, places)
         if run >= RUN:
             return True, run, run, 1.0
         best, held = None, set(passage)
-        full = (1 << RUN) - 1
-        for start in range(len(self.words[i]) - RUN + 1):
-            window = self.words[i][start : start + RUN].tolist()
+        for start in np.flatnonzero(np.isin(windows, passage).sum(axis=1) >= _NEEDED).tolist():
+            window = windows[start].tolist()
             answers = {w for w in window if self.particular[w]}
-            if len(answers) < MIN_PARTICULARS or len(answers & held) < max(MIN_PARTICULARS, ANSWER * len(answers)):
-                continue
-            if sum(w in held for w in window) < _NEEDED:
+            shared = len(answers & held)
+            if shared < max(MIN_PARTICULARS, ANSWER * len(answers)):
                 continue
-            common = common_subsequence(passage, {w: masks[w] >> start & full for w in window}, RUN)
+            common = common_subsequence(passage, {w: masks[w] >> start & _WINDOW for w in window}, RUN)
             if common >= _NEEDED:
-                best = max(best or (False, 0, 0, 0.0), (False, run, common, len(answers & held) / len(answers)))
+                best = max(best or (False, 0, 0, 0.0), (False, run, common, shared / len(answers)))
         return best
 
 
@@ -294,7 +320,8 @@ def _block_leaks(documents: DataFrame, items: Items, cosine: float) -> DataFrame
             latent = np.stack([v @ space[own] for own, v in _vectors([p for _, p in batch], idf)]).astype(np.float32)
             latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
             near = np.maximum.reduceat(latent @ vectors.T, starts, axis=1)
-            for k, i in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+            sharing = np.stack([checker.sharing(p) for _, p in batch])
+            for k, i in zip(*(x.tolist() for x in np.nonzero((near >= cosine) & sharing)), strict=True):
                 doc_id, p = batch[k]
                 leak = checker.check(i, p.tolist())
                 if leak:
