@@ -1,8 +1,9 @@
 """Template residue and error-page text in documents.
 
-Numbers, addresses, dates and slots are masked; equal masked messages are grouped by hash across all sources, and
-each different message is classified once by phrase and placeholder rules. A rule that is weak on its own needs a
-message that recurs in several sources.
+Numbers, addresses, dates and slots are masked and equal masked messages are grouped by hash across all sources. What a message is
+depends on how widely it recurs: one that holds an open slot, filler or a page's message for certain counts wherever it stands; one whose phrase is
+weak on its own needs several documents and sources; and one that no rule knows is a notice of some kind if it recurs in
+WIDE_SOURCES sources (every short message of every document takes part in that count, by built-in expressions and a map-side fold).
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from strataforge.runtime import cut
 
 #: A weak rule needs so many documents and sources with the same masked message.
 MIN_DOCUMENTS, MIN_SOURCES = 3, 2
+#: A message without a rule that so many sources hold is a notice; a message is a segment of so many characters.
+WIDE_SOURCES, MESSAGE_CHARS = 100, (12, 300)
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)")
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
@@ -220,13 +223,36 @@ def _classes(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield h, kind
 
 
+def _short_messages(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, h): the hash of every short masked message outside quoted code, within the JVM."""
+    text = F.regexp_replace("text", r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[`~]*[ \t]*$|\z)", "\n")
+    segment = F.explode(F.split(F.regexp_replace(text, r"`[^`\n]*`", " "), r"[\r\n]+|(?<=[.!?。！？])\s+|(?<=[。！？])"))
+    m = F.lower("segment")
+    m = F.regexp_replace(m, r"https?://\S+|[\w.+\-]+@[\w\-]+\.[\w.]+", "<address>")
+    m = F.trim(F.regexp_replace(F.regexp_replace(m, r"\d[\d.,:/\-]*", "#"), r"\s+", " "))
+    each = documents.filter(F.length("text") > 0).select("doc_id", "source", segment.alias("segment")).select("doc_id", "source", m.alias("m"))
+    return each.filter(F.length("m").between(*MESSAGE_CHARS) & F.col("m").contains(" ")).select("doc_id", "source", F.xxhash64("m").alias("h"))
+
+
+def notices(documents: DataFrame) -> DataFrame | None:
+    """(doc_id, kind, n): documents with messages that WIDE_SOURCES sources hold; None if there are no such messages.
+
+    The first pass shuffles one (hash, source) for each task that saw it, the second only hashes that match.
+    """
+    wide = _short_messages(documents).select("h", "source").distinct().groupBy("h").agg(F.count("source").alias("sources")).filter(F.col("sources") >= WIDE_SOURCES)
+    wide = cut(wide.select("h"))
+    if wide.isEmpty():
+        return None
+    return _short_messages(documents).select("doc_id", "h").join(wide, "h", "left_semi").distinct().select("doc_id", F.lit("notice").alias("kind"))
+
+
 def residue(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind, n_messages) of documents that hold residue.
+    """(doc_id, kind, n_messages) of documents that hold residue. Kinds: slot, empty_value, filler, page_message and notice.
 
     A value that may be a program's empty value counts where its masked message also occurs with an open slot. Null and
     empty texts hold nothing. Whole texts are read; quoted code (fences and backticks) isn't.
 
-    Scale: only segments with a cue leave the scan. Messages fold map-side into one row per hash, so a message that
+    Scale: of the segments that rules can know only those with a cue leave the scan. Messages fold map-side into one row per hash, so a message that
     a third of all documents share isn't gathered; the classified hashes join back on the candidates (few
     rows; a hot hash is split by AQE's skew join or broadcast by size).
     """
@@ -235,7 +261,8 @@ def residue(documents: DataFrame) -> DataFrame:
     per_source = held.groupBy("h", "source").agg(F.first("message").alias("message"), F.collect_set("rule").alias("rules"), F.count(F.lit(1)).alias("n"))
     grouped = per_source.groupBy("h").agg(F.first("message").alias("message"), F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.sum("n").alias("documents"), F.count("source").alias("sources"))
     kinds = flat_map(grouped, ["h", "message", "rules", "documents", "sources"], _classes, "h bigint, kind string", balance=False)
-    return held.join(kinds, "h").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_messages"))
+    told, wide = held.join(kinds, "h").select("doc_id", "kind"), notices(documents)
+    return (told if wide is None else told.unionByName(wide)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -219,6 +219,16 @@ def test_weak_messages_need_spread(spark):
     assert {r.doc_id for r in R.found(spark.createDataFrame(docs, "doc_id bigint, source string, text string")).collect()} == {0, 1, 2, 3}
 
 
+def test_unknown_messages_that_recur_widely(spark):
+    """A message that no rule knows, in 500 sources; the same with fewer sources, or only as quoted code, is ordinary text."""
+    say = "This content is provided to subscribers of plan {} only."
+    docs = [(i, f"s{i % 500}", f"Words of document {i}.\n{say.format(i % 7)} More words {i}.") for i in range(1000)]
+    docs += [(2000 + i, f"s{i % 20}", "A sentence of twenty sources.") for i in range(1000)] + [(4000 + i, f"s{i}", "The text:\n```\nquoted words that all have\n```\n") for i in range(300)]
+    docs += [(9000, None, None), (9001, "s1", "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("h", F.lit("clash"))
+    assert {(r.doc_id, r.kind) for r in R.residue(df).collect()} == {(i, "notice") for i in range(1000)}
+
+
 def test_masks():
     assert R.mask("See https://a.b/c on 2024-01-02, 12 files, code 503, {{x}}") == R.mask("See http://q.r on 2023-11-30, 7 files, code 404, __y__")
 
