@@ -2,8 +2,8 @@
 
 Four kinds of evidence, the first that says anything decides:
 
-1. attribute files (``.gitattributes``) mark paths as generated or vendored, or as neither; a deeper file, and within a file
-   a later line, takes precedence;
+1. attribute files (``.gitattributes``) mark paths as generated or vendored, or as neither; for each of these two attributes by itself
+   a deeper file, and within a file a later line, takes precedence;
 2. the content, where it was read: a tool's or a copy's mark in the leading comments, minified lines, number tables;
 3. path patterns: mined from the files that 1 and 2 mark (a directory name, a directory under its parent, a file name's
    ending), besides patterns in common use. The more specific pattern takes precedence, so that ``domain/vendor`` stays
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions.rows import flat_map
+from strataforge.runtime import cut
 
 #: A pattern is mined if this many marked files in so many repositories bear it, and this share of the files read with it: for
 #: directory names; for endings and directories under a parent among files that no directory name tells.
@@ -82,50 +83,74 @@ def content_mark(content: str | None) -> str | None:
 
 
 def _marks(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for file_id, content in rows:
-        yield file_id, content_mark(content)
+    for file_id, repo_id, path, language, content in rows:
+        if language is not None:
+            yield file_id, content_mark(content), None, None, None, None, None, None
+        if path and re.search(r"(^|/)\.gitattributes$", path):
+            for rule in attribute_rules(path, content):
+                yield None, None, repo_id, *rule
+
+
+_MARKS = "file_id bigint, mark string, repo_id bigint, dir string, line int, regex string, attribute string, state boolean"
 
 
 # -- attribute files ---------------------------------------------------------------------------------
 def glob_to_regex(pattern: str) -> str:
-    """An attribute pattern as a regular expression over the path below the attribute file's directory."""
-    anchored = "/" in pattern.rstrip("/")
-    p, out, i = pattern.strip("/"), "", 0
+    """An attribute pattern as a regular expression over the path of a file below the attribute file's directory.
+
+    A pattern without a slash is one for names at any depth; one that ends with a slash is for directories and so for no file.
+    """
+    if pattern.endswith("/"):
+        return r"(?!)"
+    anchored = "/" in pattern
+    p, out, i = pattern.removeprefix("/"), "", 0
     while i < len(p):
-        if p.startswith("**/", i):
+        if p.startswith("**/", i) and (i == 0 or p[i - 1] == "/"):
             out, i = out + r"(?:[^/]+/)*", i + 3
-        elif p.startswith("**", i):
-            out, i = out + r".*", i + 2
+        elif p[i:] == "**" and (i == 0 or p[i - 1] == "/"):
+            out, i = out + r".+", i + 2
         elif p[i] == "*":
-            out, i = out + r"[^/]*", i + 1
+            while i < len(p) and p[i] == "*":
+                i += 1
+            out += r"[^/]*"
         elif p[i] == "?":
             out, i = out + r"[^/]", i + 1
         elif p[i] == "[" and "]" in p[i + 2 :]:
             j = p.index("]", i + 2)
-            inner = p[i + 1 : j].replace("\\", "\\\\")
-            out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", j + 1
+            inner = p[i + 1 : j].replace("\\", "\\\\").replace("[", "\\[")
+            out, i = out + "(?!/)[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", j + 1
+        elif p[i] == "\\" and i + 1 < len(p):
+            out, i = out + re.escape(p[i + 1]), i + 2
         else:
             out, i = out + re.escape(p[i]), i + 1
-    return rf"^(?:{'' if anchored else '(?:.*/)?'}{out}){'(?:/.*)?' if pattern.endswith('/') else ''}$"
+    return rf"^(?:{'' if anchored else '(?:.*/)?'}{out})$"
 
 
-def attribute_rules(path: str, content: str | None) -> Iterator[tuple[str, int, str, bool]]:
-    """(directory, line, regular expression, foreign) of an attribute file's generated and vendored marks."""
-    directory = path.rpartition("/")[0]
-    for number, line in enumerate((content or "").splitlines(), 1):
-        words = line.split()
-        if len(words) < 2 or words[0].startswith("#") or words[0].startswith("!"):
-            continue
-        for word in words[1:]:
-            m = re.fullmatch(r"([\-!]?)(?:linguist-|gitlab-)?(generated|vendored)(?:=(\w+))?", word)
-            if m:
-                yield directory, number, glob_to_regex(words[0]), not m[1] and (m[3] or "true").lower() in ("true", "set", "1")
+_LINE = re.compile(r"\s*(?:\"((?:[^\"\\]|\\.)*)\"|(\S+))((?:\s+\S+)+)\s*")
+_ATTRIBUTE = re.compile(r"([\-!]?)(?:linguist-|gitlab-)?(generated|vendored)(?:=(\w+))?")
 
 
-def _rules(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for repo_id, path, content in rows:
-        for rule in attribute_rules(path, content):
-            yield (repo_id, *rule)
+def attribute_rules(path: str, content: str | None) -> Iterator[tuple[str, int, str, str, bool | None]]:
+    """(directory, line, regular expression, attribute, state) of an attribute file's generated and vendored marks.
+
+    States: set (true), unset (false) and, after ``!``, unspecified again (None). Of one attribute on a line the last state holds. Macros
+    (``[attr]name ...``) of the same file stand for their attributes.
+    """
+    directory, macros = path.rpartition("/")[0], {}
+    for number, line in enumerate((content or "").splitlines(), 1):
+        m = _LINE.fullmatch(line)
+        if not m or m[2] and m[2][0] in "#!":
+            continue
+        pattern, words = m[1] if m[1] is not None else m[2], m[3].split()
+        if pattern.startswith("[attr]"):
+            macros[pattern[6:]] = words
+            continue
+        states: dict[str, bool | None] = {}
+        for word in (w for word in words for w in macros.get(word, [word])):
+            if a := _ATTRIBUTE.fullmatch(word):
+                states[a[2]] = None if a[1] == "!" else not a[1] and (a[3] or "true").lower() in ("true", "set", "1")
+        for attribute, state in states.items():
+            yield directory, number, glob_to_regex(pattern), attribute, state
 
 
 def normal_path(path: Column) -> Column:
@@ -142,18 +167,18 @@ def latest(manifest: DataFrame, columns: list[str]) -> DataFrame:
     return manifest.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(held).select("file_id", *[F.col(f"_h.{c}").alias(c) for c in columns])
 
 
-def declared(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_id, declared) of files that an attribute file marks (true) or unmarks (false)."""
-    rules = flat_map(
-        files.withColumn("_path", normal_path(F.col("relative_path"))).filter(F.col("_path").rlike(r"(^|/)\.gitattributes$")),
-        ["repo_id", "_path", "content"], _rules, "repo_id bigint, dir string, line int, regex string, mark boolean", balance=False,
-    ).distinct()
+def declared(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_id, declared) of files that an attribute file marks as generated or vendored (true), or as not (false).
+
+    ``rules`` has repo_id, dir, line, regex, attribute and state. An attribute's last state holds; a file with neither state isn't in the result.
+    """
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     ancestors = paths.select("file_id", "repo_id", "path", F.explode(above).alias("dir"))
     below = F.when(F.col("dir") == "", F.col("path")).otherwise(F.expr("substring(path, length(dir) + 2)"))
     hit = ancestors.join(rules, ["repo_id", "dir"]).filter(F.regexp_like(below, F.col("regex")))
-    return hit.groupBy("file_id").agg(F.max_by("mark", F.struct(F.length("dir"), "line")).alias("declared"))
+    last = hit.groupBy("file_id", "attribute").agg(F.max_by("state", F.struct(F.length("dir"), "line")).alias("state"))
+    return last.groupBy("file_id").agg(F.bool_or("state").alias("declared")).filter("declared IS NOT NULL")
 
 
 # -- patterns ----------------------------------------------------------------------------------------
@@ -229,11 +254,15 @@ def judge(manifest: DataFrame, files: DataFrame) -> DataFrame:
     count no shape. Rows with a null file_id are left out. Empty tables give an empty result.
     """
     held = latest(manifest, ["language", "repo_id", "relative_path", "size", "lines_of_code", "analyzable"]).filter(F.col("language").isNotNull())
-    read = flat_map(files.filter(F.col("language").isNotNull()), ["file_id", "content"], _marks, "file_id bigint, mark string")
-    read = read.groupBy("file_id").agg(F.max("mark").alias("mark"), F.lit(True).alias("read"))
+    # contents are read once: marks and the rules of attribute files are kept, and so is what is known of each file before its patterns
+    source = files.select("file_id", "repo_id", normal_path(F.col("relative_path")).alias("path"), "language", "content")
+    known = cut(flat_map(source.filter(F.col("language").isNotNull() | F.col("path").endswith(".gitattributes")), ["file_id", "repo_id", "path", "language", "content"], _marks, _MARKS))
+    read = known.filter("file_id IS NOT NULL").groupBy("file_id").agg(F.max("mark").alias("mark"), F.lit(True).alias("read"))
+    rules = known.filter("regex IS NOT NULL").select("repo_id", "dir", "line", "regex", "attribute", "state").distinct()
     base = held.withColumn("path", F.coalesce(normal_path(F.col("relative_path")), F.lit(""))).join(read, "file_id", "left")
-    base = base.join(declared(base.select("file_id", "repo_id", "path"), files), "file_id", "left")
+    base = base.join(declared(base.select("file_id", "repo_id", "path"), rules), "file_id", "left")
     base = base.withColumn("read", F.coalesce("read", F.lit(False)) | F.col("declared").isNotNull()).withColumn("marked", F.coalesce("declared", F.col("mark").isNotNull()))
+    base = cut(base)
     paths = base.select("file_id", "repo_id", "path", "read", "marked")
     names = mined_patterns(paths, "d", MIN_SHARE)
     rest = mined_patterns(_bearing(paths.filter("read"), names).filter(~F.col("told")), "pe", MIN_SHARE_REST).filter("foreign")

@@ -239,8 +239,24 @@ def test_attribute_globs():
     import re
 
     hit = lambda g, p: bool(re.match(S.glob_to_regex(g), p))
-    assert hit("*.pb.go", "a/b.pb.go") and not hit("/x/*.go", "y/x/a.go") and hit("/x/*.go", "x/a.go") and hit("gen/", "gen/a/b") and hit("a/**/b.ts", "a/b.ts") and hit("[ab].ts", "a.ts")
-    assert list(S.attribute_rules("d/.gitattributes", "# c\nx.ts linguist-generated=false\n")) == [("d", 2, S.glob_to_regex("x.ts"), False)]
+    assert hit("*.pb.go", "a/b.pb.go") and not hit("/x/*.go", "y/x/a.go") and hit("/x/*.go", "x/a.go") and hit("a/**/b.ts", "a/b.ts") and hit("a/**/b.ts", "a/x/y/b.ts") and hit("[ab].ts", "a.ts")
+    assert not hit("gen/", "gen/a/b") and not hit("gen", "gen/a") and hit("gen/**", "gen/a/b") and not hit("gen/**", "gen") and hit("**/gen/*", "x/gen/a") and hit("**/gen/*", "gen/a") and not hit("gen/*", "gen/a/b")
+    assert hit("a?.ts", "x/ab.ts") and not hit("a?.ts", "a/.ts") and hit("[!a].ts", "b.ts") and not hit("[!a].ts", "a.ts") and hit("\\*.ts", "*.ts") and not hit("\\*.ts", "a.ts") and hit("a**b.ts", "axxb.ts")
+    rules = lambda text: [(n, a, s) for _, n, _, a, s in S.attribute_rules("d/.gitattributes", text)]
+    assert list(S.attribute_rules("d/.gitattributes", "# c\nx.ts linguist-generated=false\n")) == [("d", 2, S.glob_to_regex("x.ts"), "generated", False)]
+    assert rules("*.js -linguist-vendored linguist-generated\n!x linguist-generated\n\"a b.js\" text !linguist-generated") == [(1, "vendored", False), (1, "generated", True), (3, "generated", None)]
+    assert rules("[attr]tool linguist-generated -diff\n*.g tool\n*.h linguist-generated -linguist-generated") == [(2, "generated", True), (3, "generated", False)]
+
+
+@pytest.mark.parametrize(("root", "deeper", "want"), [
+    ("*.js linguist-generated\n*.js -linguist-vendored\n", None, {1, 2}), ("*.js linguist-generated\n", "*.js -linguist-generated\n", {1}), ("*.js linguist-generated\n", "b.js !linguist-generated\n", {1}),
+    ("*.js linguist-generated\na.js !linguist-generated\n", None, {2}), ("lib/ linguist-vendored\n", None, set()), ("lib/** linguist-vendored\n", None, {2}), ("/a.js linguist-vendored\n/b.js linguist-vendored\n", None, {1}), ("lib/** linguist-vendored\n", "*.js -linguist-vendored\n", set()),
+])
+def test_attribute_precedence(spark, root, deeper, want):
+    man = manifest(spark, [("a.js", "javascript", 300, 10), ("lib/b.js", "javascript", 300, 10), ("src/c.ts", "typescript", 300, 10)])
+    held = [(100, 1, ".gitattributes", None, root)] + ([(101, 1, "lib/.gitattributes", None, deeper)] if deeper else [])
+    f = spark.createDataFrame(held, "file_id bigint, repo_id bigint, relative_path string, language string, content string")
+    assert {r.file_id for r in S.found(man, f.union(f)).collect()} == want
 
 
 GERMAN = "Der Zähler beginnt nach jedem Neustart wieder bei null und danach wird der Puffer geleert"
