@@ -39,7 +39,7 @@ OUTSIDE_SOURCE_DIRS = tuple("vendor external externals deps contrib dist gen obj
 #: File names.
 KNOWN_FILES = (
     r"(?i)(?:[.\-]min\.[cm]?js|\.bundle\.[cm]?js|\.chunk\.[cm]?js|[.\-][0-9a-f]{8,}\.[cm]?js|\.pb\.\w+|_pb\.[jt]s|_pb2(?:_grpc)?\.pyi?|\.g\.cs|\.designer\.cs|\.generated\.\w+|[._]gen\.\w+|_generated\.\w+|^zz_generated.*)$"
-    r"|\w(?:Grpc|OuterClass)\.java$|_bindings\.rs$"
+    r"|\w(?:Grpc|OuterClass)\.java$|_bindings\.rs$|\w_string\.go$|[A-Za-z]\w*[\-@]v?\d+\.\d+\.\d+\.\w+$"
 )
 _VERSIONED = r"^[A-Za-z][\w.]*[@\-]v?\d+\.\d+(?:\.\d+)*$"
 
