@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataforge.rules import SIGNIFICANCE_WEIGHTS, SIGNIFICANT_HEALTH, SNAPSHOT_METRICS
+
 
 def canonical(df: DataFrame, column: str) -> Column:
     """A column in canonical form: arrays in order, everything else as it is."""
@@ -65,12 +67,11 @@ def state_hash(df: DataFrame, keys: Sequence[str], skip: Sequence[str] = ()) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.concat_ws(":", part(1).cast("string"), part(13).cast("string"), F.count(F.lit(1)).cast("string")), 256).alias("hash"))
 
 
-def snapshot_metrics(entities: DataFrame, keys: Sequence[str] = ("repo_id", "version")) -> DataFrame:
-    """Flat metrics of each version."""
-    return entities.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("entities_total"), F.count_distinct("belongs_to_domain").alias("domains_total"), (F.floor(F.avg("complexity") * 100 + 0.5) / 100).alias("complexity_average"),
-        F.max("complexity").alias("complexity_max"), F.count_if(F.col("criticality") == "critical").alias("critical_total"), F.sum(F.size("risks")).cast("bigint").alias("risk_total"),
-    )
+def snapshot_metrics(summary: DataFrame, keys: Sequence[str] = ("repo_id", "version")) -> DataFrame:
+    """(keys..., metrics): the flat metrics of each version, by name. ``summary`` has one row per version with a column for each metric
+    (its name with underscores); a column that's missing or null gives no metric."""
+    held = [F.struct(F.lit(m).alias("key"), F.col(c).cast("double").alias("value")) for m in SNAPSHOT_METRICS if (c := m.replace(".", "_")) in summary.columns]
+    return summary.select(*keys, F.map_from_entries(F.filter(F.array(*held), lambda e: e["value"].isNotNull())).alias("metrics"))
 
 
 def history(snapshots: DataFrame, limit: int | None = None, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
@@ -82,19 +83,33 @@ def history(snapshots: DataFrame, limit: int | None = None, keys: Sequence[str]
 
 
 def version_diff(metrics: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """(keys..., from_version, to_version, deltas, significance) of consecutive versions."""
-    chain = Window.partitionBy(*keys).orderBy("version")
-    prev = lambda c: F.lag(c).over(chain)
-    m = metrics.withColumns({"from_version": prev("version"), "_e": prev("entities_total"), "_d": prev("domains_total"), "_c": prev("complexity_average")}).filter("from_version IS NOT NULL")
-    e = F.least(F.lit(1.0), F.abs(F.col("entities_total") - F.col("_e")) / F.greatest(F.lit(1), F.col("_e")))
-    d = F.when(F.col("domains_total") != F.col("_d"), 0.5).otherwise(0.0)
-    value = F.least(F.lit(1.0), e * 0.4 + d * 0.3)
-    return m.select(*keys, "from_version", F.col("version").alias("to_version"), (F.col("entities_total") - F.col("_e")).alias("entities_delta"), (F.col("domains_total") - F.col("_d")).alias("domains_delta"), (F.floor(value * 10000 + 0.5) / 10000).alias("significance"))
-
+    """(keys..., from_version, to_version, health_delta, dimension_deltas, significance) of consecutive versions.
 
-def snapshot_hash(summary: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """First 16 hex digits of the digest of a summary row's JSON."""
-    return summary.withColumn("hash", F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 16))
+    ``metrics`` has keys, version and a map. A metric that a version lacks counts as 0. ``dimension_deltas`` has the health dimensions of the
+    later version. Significance: entities changed (as a part of those before), whether the number of domains changed, and health points of 20.
+    """
+    chain = Window.partitionBy(*keys).orderBy("version")
+    m = metrics.withColumns({"from_version": F.lag("version").over(chain), "_from": F.lag("metrics").over(chain)}).filter("from_version IS NOT NULL")
+    at = lambda c, k: F.coalesce(F.try_element_at(F.col(c), F.lit(k) if isinstance(k, str) else k), F.lit(0.0))
+    delta = lambda k: at("metrics", k) - at("_from", k)
+    entities = F.least(F.lit(1.0), F.abs(delta("entities.total")) / F.greatest(F.lit(1.0), F.coalesce(F.try_element_at("_from", F.lit("entities.total")), F.lit(1.0))))
+    domains = F.when(F.abs(delta("domains.total")) > 0, 0.5).otherwise(0.0)
+    health = F.least(F.lit(1.0), F.abs(delta("health.overall")) / SIGNIFICANT_HEALTH)
+    dimensions = F.filter(F.map_keys("metrics"), lambda k: k.startswith("health.") & (k != "health.overall"))
+    deltas = F.map_from_entries(F.transform(dimensions, lambda k: F.struct(F.substring(k, 8, 100).alias("key"), delta(k).alias("value"))))
+    parts = zip(SIGNIFICANCE_WEIGHTS, (entities, domains, health), strict=True)
+    value = F.least(F.lit(1.0), sum((x * w for w, x in parts), F.lit(0.0)))
+    return m.select(*keys, "from_version", F.col("version").alias("to_version"), delta("health.overall").alias("health_delta"), deltas.alias("dimension_deltas"), value.alias("significance"))
+
+
+def snapshot_hash(summary: DataFrame) -> DataFrame:
+    """``summary`` with the first 16 hex digits of the digest of its identity as JSON: id, version, entity_count, module_count,
+    health_score and architecture, in this order, whole numbers without a fraction. A null is a JSON null."""
+    number = lambda c: F.when(F.col(c) == F.floor(c), F.col(c).cast("bigint").cast("string")).otherwise(F.col(c).cast("string"))
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    fields = [("id", text("id")), ("version", number("version")), ("entityCount", number("entity_count")), ("moduleCount", number("module_count")), ("healthScore", number("health_score")), ("architecture", text("architecture"))]
+    held = [F.concat(F.lit(f'"{n}":'), F.coalesce(F.when(v != "", v), F.lit("null"))) for n, v in fields]
+    return summary.withColumn("hash", F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *held), F.lit("}")), 256), 1, 16))
 
 
 def is_full_version(version: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataforge.operators import diffs as D
 from strataforge.plans import inputs as I
 from strataforge.plans.inputs import BASE
+from strataforge.rules import HEALTH_WEIGHTS
 from strataforge.runtime import table
 from strataforge.streaming import changes as W
 
@@ -34,11 +35,34 @@ KEY = ["repo_id", "entity_id"]
 COLS = "architecture_role criticality complexity risks depends_on belongs_to_domain belongs_to_layer".split()
 
 
-def _metrics(s: SparkSession, d: str) -> DataFrame:
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    """A summary row of each full version, out of its entities."""
     st = table(s, d, "entity_states").join(table(s, d, "snapshots").filter("is_full_snapshot").select("repo_id", "version").distinct(), ["repo_id", "version"])
-    cols = "complexity criticality risks belongs_to_domain".split()
+    cols = "complexity criticality risks depends_on belongs_to_domain belongs_to_layer path architecture_role".split()
     held = st.groupBy("repo_id", "version", "entity_id").agg(F.max_by(F.struct(*cols), "ingested_at").alias("h")).select("repo_id", "version", *[f"h.{c}" for c in cols])
-    return D.snapshot_metrics(held)
+    whole = lambda x: F.floor(x + 0.5).cast("double")
+    n_risks, n_deps = F.size("risks"), F.size("depends_on")
+    out = held.groupBy("repo_id", "version").agg(
+        whole(F.count("belongs_to_layer") / F.count(F.lit(1)) * 100).alias("health_architecture"), whole(F.greatest(F.lit(0.0), 100 - F.avg(n_deps) * 5)).alias("health_dependency"),
+        whole(F.greatest(F.lit(0.0), 100 - F.avg("complexity") * 2)).alias("health_complexity"), F.lit(0.0).alias("health_knowledge"), whole(F.greatest(F.lit(0.0), 100 - F.avg(n_risks) * 10)).alias("health_risk"),
+        (F.floor(F.avg("complexity") * 100 + 0.5) / 100).alias("complexity_average"), F.max("complexity").alias("complexity_max"), (F.floor(F.avg((n_deps > 0).cast("int")) * 100 + 0.5) / 100).alias("complexity_instability"),
+        whole(100 * (1 - F.exp(-F.sum(n_risks) * 4 / 25))).alias("risk_overall"), F.sum(n_risks).alias("risk_total"), F.count_if((n_risks > 0) & (F.col("criticality") == "critical")).alias("risk_critical"),
+        F.count(F.lit(1)).alias("entities_total"), F.count_distinct(F.regexp_replace("path", "/?[^/]*$", "")).alias("modules_total"), F.count_distinct("belongs_to_domain").alias("domains_total"),
+        F.count_distinct("belongs_to_layer").alias("capabilities_total"), F.lit(0).alias("knowledge_total"), F.count_if(F.col("criticality") == "critical").alias("critical_total"), F.lit(0).alias("duration_ms"),
+    )
+    return out.withColumn("health_overall", whole(sum((F.col(f"health_{n}") * w for n, w in HEALTH_WEIGHTS.items()), F.lit(0.0))))
+
+
+def _hashed(s: SparkSession, d: str) -> DataFrame:
+    best = F.when(F.col("capabilities_total") > 3, "layered").otherwise("unknown")
+    row = _summary(s, d).select("repo_id", "version", F.concat(F.lit('dna "'), F.col("repo_id").cast("string"), F.lit('"')).alias("id"), F.col("entities_total").alias("entity_count"), F.col("modules_total").alias("module_count"), (F.col("health_overall") / 4).alias("health_score"), best.alias("architecture"))
+    return D.snapshot_hash(row).select("repo_id", "version", "hash")
+
+
+def _diffs(s: SparkSession, d: str) -> DataFrame:
+    out = D.version_diff(D.snapshot_metrics(_summary(s, d)))
+    each = [F.element_at("dimension_deltas", n).alias(f"d_{n}") for n in HEALTH_WEIGHTS]
+    return out.select("repo_id", "from_version", "to_version", "health_delta", *each, F.round("significance", 9).alias("significance"))
 
 
 QUERIES = {
@@ -52,18 +76,26 @@ QUERIES = {
     "membership_changes": lambda s, d: D.membership_changes(*_two(s, d), KEY, "architecture_role"),
     "edge_changes": lambda s, d: D.added_removed_kept(*[x.select("repo_id", "entity_id", F.explode("depends_on").alias("dep")) for x in _two(s, d)], ["repo_id", "entity_id", "dep"]),
     "state_hash": lambda s, d: D.state_hash(_two(s, d)[1], ["repo_id"]),
-    "snapshot_metrics": _metrics,
-    "version_diff": lambda s, d: D.version_diff(_metrics(s, d)),
+    "snapshot_metrics": lambda s, d: D.snapshot_metrics(_summary(s, d)).select("repo_id", "version", F.explode("metrics").alias("metric", "value")),
+    "version_diff": _diffs,
     "history": lambda s, d: D.history(table(s, d, "snapshots").select("repo_id", "version", "trigger_kind"), 3),
-    "snapshot_hash": lambda s, d: D.snapshot_hash(_metrics(s, d), ["repo_id", "version", "entities_total"]).select("repo_id", "version", "hash"),
+    "snapshot_hash": _hashed,
 }
 
 _CH = """WITH ch AS (SELECT 'file-' || user_id AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind, CAST(floor(day(ts) / 10) AS INTEGER) AS epoch, event_id AS sequence, ts AS tm FROM events)"""
 _HELD = lambda agg: f"""SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.repo_id, e.entity_id ORDER BY e.ingested_at DESC) AS rn FROM entity_states e JOIN (SELECT repo_id, {agg}(version) AS version FROM snapshots WHERE is_full_snapshot GROUP BY repo_id) n ON e.repo_id = n.repo_id AND e.version = n.version) WHERE rn = 1"""
 _TWO = f"WITH a AS ({_HELD('min')}), b AS ({_HELD('max')})"
 _norm = lambda t, c: f"list_sort({t}.{c})" if c in ("risks", "depends_on") else f"{t}.{c}"
-_MET = """WITH m AS (SELECT repo_id, version, count(*) AS entities_total, count(DISTINCT belongs_to_domain) AS domains_total, floor(avg(complexity) * 100 + 0.5) / 100 AS complexity_average, max(complexity) AS complexity_max,
-  count(*) FILTER (WHERE criticality = 'critical') AS critical_total, sum(len(risks))::BIGINT AS risk_total FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, version, entity_id ORDER BY ingested_at DESC) AS rn FROM entity_states SEMI JOIN (SELECT repo_id, version FROM snapshots WHERE is_full_snapshot) s USING (repo_id, version)) WHERE rn = 1 GROUP BY repo_id, version)"""
+_MET = """WITH held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, version, entity_id ORDER BY ingested_at DESC) AS rn FROM entity_states SEMI JOIN (SELECT repo_id, version FROM snapshots WHERE is_full_snapshot) s USING (repo_id, version)) WHERE rn = 1),
+dims AS (SELECT repo_id, version, floor(count(belongs_to_layer) / count(*) * 100 + 0.5) AS architecture, floor(greatest(0, 100 - avg(len(depends_on)) * 5) + 0.5) AS dependency, floor(greatest(0, 100 - avg(complexity) * 2) + 0.5) AS complexity, 0 AS knowledge,
+  floor(greatest(0, 100 - avg(len(risks)) * 10) + 0.5) AS risk, avg(complexity) AS ac, max(complexity) AS mc, avg(CASE WHEN len(depends_on) > 0 THEN 1 ELSE 0 END) AS ins, sum(len(risks)) AS nr, count(*) FILTER (WHERE len(risks) > 0 AND criticality = 'critical') AS rc,
+  count(*) AS ne, count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) AS nm, count(DISTINCT belongs_to_domain) AS nd, count(DISTINCT belongs_to_layer) AS nl, count(*) FILTER (WHERE criticality = 'critical') AS nc FROM held GROUP BY repo_id, version),
+m AS (SELECT *, floor(architecture * 0.25::DOUBLE + dependency * 0.2::DOUBLE + complexity * 0.25::DOUBLE + knowledge * 0.15::DOUBLE + risk * 0.15::DOUBLE + 0.5) AS overall FROM dims)"""
+_METRICS = {
+    "health.overall": "overall", "health.architecture": "architecture", "health.dependency": "dependency", "health.complexity": "complexity", "health.knowledge": "knowledge", "health.risk": "risk",
+    "complexity.average": "floor(ac * 100 + 0.5) / 100", "complexity.max": "mc", "complexity.instability": "floor(ins * 100 + 0.5) / 100", "risk.overall": "floor(100 * (1 - exp(-nr * 4 / 25)) + 0.5)", "risk.total": "nr", "risk.critical": "rc",
+    "entities.total": "ne", "modules.total": "nm", "domains.total": "nd", "capabilities.total": "nl", "knowledge.total": "0", "critical.total": "nc", "duration.ms": "0",
+}
 _MERGE = "CASE WHEN p = 'none' THEN k WHEN p = 'created' THEN CASE WHEN k = 'deleted' THEN 'none' ELSE 'created' END ELSE CASE WHEN k = 'deleted' THEN 'deleted' ELSE 'modified' END END"
 
 SQL = {
@@ -85,10 +117,13 @@ SQL = {
     "membership_changes": _TWO + " SELECT a.repo_id, a.entity_id, a.architecture_role AS before, b.architecture_role AS after FROM a JOIN b ON a.repo_id = b.repo_id AND a.entity_id = b.entity_id WHERE a.architecture_role IS DISTINCT FROM b.architecture_role",
     "edge_changes": _TWO
     + ", x AS (SELECT DISTINCT repo_id, entity_id, unnest(depends_on) AS dep FROM a), y AS (SELECT DISTINCT repo_id, entity_id, unnest(depends_on) AS dep FROM b) SELECT coalesce(x.repo_id, y.repo_id) AS repo_id, coalesce(x.entity_id, y.entity_id) AS entity_id, coalesce(x.dep, y.dep) AS dep, CASE WHEN x.dep IS NULL THEN 'added' WHEN y.dep IS NULL THEN 'removed' ELSE 'kept' END AS side FROM x FULL OUTER JOIN y ON x.repo_id = y.repo_id AND x.entity_id = y.entity_id AND x.dep = y.dep",
-    "snapshot_metrics": _MET + " SELECT * FROM m",
+    "snapshot_metrics": _MET + " UNION ALL ".join(f" SELECT repo_id, version, '{k}' AS metric, CAST({v} AS DOUBLE) AS value FROM m" for k, v in _METRICS.items()),
     "version_diff": _MET
-    + """, l AS (SELECT *, lag(version) OVER w AS pv, lag(entities_total) OVER w AS pe, lag(domains_total) OVER w AS pd FROM m WINDOW w AS (PARTITION BY repo_id ORDER BY version))
-      SELECT repo_id, pv AS from_version, version AS to_version, entities_total - pe AS entities_delta, domains_total - pd AS domains_delta, floor(least(1.0, least(1.0, abs(entities_total - pe) / greatest(1, pe)) * 0.4::DOUBLE + CASE WHEN domains_total <> pd THEN 0.5 ELSE 0 END * 0.3::DOUBLE) * 10000 + 0.5) / 10000 AS significance FROM l WHERE pv IS NOT NULL""",
+    + """, p AS (SELECT a.*, b.version AS pv, b.overall AS po, b.architecture AS pa, b.dependency AS pp, b.complexity AS pc, b.risk AS pr, b.ne AS pe, b.nd AS pd FROM m a ASOF JOIN m b ON a.repo_id = b.repo_id AND a.version > b.version)
+      SELECT repo_id, pv AS from_version, version AS to_version, CAST(overall - po AS DOUBLE) AS health_delta, CAST(architecture - pa AS DOUBLE) AS d_architecture, CAST(dependency - pp AS DOUBLE) AS d_dependency, CAST(complexity - pc AS DOUBLE) AS d_complexity, 0::DOUBLE AS d_knowledge, CAST(risk - pr AS DOUBLE) AS d_risk,
+      round(least(1.0::DOUBLE, least(1.0, abs(ne - pe) / greatest(1, pe)) * 0.4::DOUBLE + CASE WHEN nd <> pd THEN 0.15::DOUBLE ELSE 0 END + least(1.0, abs(overall - po) / 20) * 0.3::DOUBLE), 9) AS significance FROM p""",
     "history": "SELECT * FROM (SELECT repo_id, version, trigger_kind, lag(version) OVER (PARTITION BY repo_id ORDER BY version) AS parent_version, row_number() OVER (PARTITION BY repo_id ORDER BY version DESC) AS place FROM snapshots) WHERE place <= 3",
-    "snapshot_hash": _MET + """ SELECT repo_id, version, sha256('{"repo_id":' || repo_id || ',"version":' || version || ',"entities_total":' || entities_total || '}')[1:16] AS hash FROM m""",
+    "snapshot_hash": _MET
+    + """ SELECT repo_id, version, sha256('{"id":"dna \\"' || repo_id || '\\"","version":' || version || ',"entityCount":' || ne || ',"moduleCount":' || nm || ',"healthScore":' || CASE WHEN overall % 4 = 0 THEN CAST(CAST(overall / 4 AS BIGINT) AS VARCHAR) ELSE CAST(CAST(overall / 4 AS DOUBLE) AS VARCHAR) END
+      || ',"architecture":"' || CASE WHEN nl > 3 THEN 'layered' ELSE 'unknown' END || '"}')[1:16] AS hash FROM m""",
 }

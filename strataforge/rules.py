@@ -100,3 +100,14 @@ EXPOSURE_SCALE = 25
 #: Order of edge types in a merge, and weights of impact components.
 EDGE_PRIORITY = {"dynamic-import": 1, "type-import": 2, "re-export": 3, "require": 4, "import": 5}
 IMPACT_WEIGHTS = {"reach": 0.35, "critical": 0.25, "domain": 0.15, "risk": 0.15, "boundary": 0.1}
+
+#: Metrics of a version, by name.
+SNAPSHOT_METRICS = (
+    "health.overall health.architecture health.dependency health.complexity health.knowledge health.risk complexity.average complexity.max complexity.instability "
+    "risk.overall risk.total risk.critical entities.total modules.total domains.total capabilities.total knowledge.total critical.total duration.ms"
+).split()
+#: Weights of entities, domains and health in a change's significance, and the health points that count in full.
+SIGNIFICANCE_WEIGHTS, SIGNIFICANT_HEALTH = (0.4, 0.3, 0.3), 20
+
+#: What warnings call the collections of an impact.
+IMPACT_LABELS = {"domain": "domains", "capability": "capabilities", "critical": "critical components", "risk": "risks", "layer": "architecture layers"}
