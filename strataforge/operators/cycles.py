@@ -137,3 +137,14 @@ def cycles(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     types = dict(edges.dtypes)
     named = [F.split_part(F.element_at("chain", 1), F.lit("\x1f"), F.lit(i + 1)).cast(types[k]).alias(k) for i, k in enumerate(keys)]
     return found.select(*named, bare.alias("chain"), length)
+
+
+def checks(found: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., cyclic, n_broken, n_repeated) of each group of ``edges``: whether cycles were found, steps of theirs that are no edges, and ids
+    that a cycle meets twice."""
+    steps = found.select(*keys, F.explode(F.arrays_zip(F.slice("chain", F.lit(1), F.size("chain") - 1), F.slice("chain", F.lit(2), F.size("chain") - 1))).alias("s"))
+    steps = steps.select(*keys, F.col("s.0").alias("src"), F.col("s.1").alias("dst")).groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    broken = steps.join(edges.select(*keys, "src", "dst").distinct(), [*keys, "src", "dst"], "left_anti").groupBy(*keys).agg(F.sum("n").cast("int").alias("n_broken"))
+    whole = found.groupBy(*keys).agg(F.lit(True).alias("cyclic"), F.count_if(F.size(F.array_distinct("chain")) != F.size("chain") - 1).cast("int").alias("n_repeated"))
+    out = edges.select(*keys).distinct().join(whole, list(keys), "left").join(broken, list(keys), "left")
+    return out.select(*keys, F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("n_broken", F.lit(0)).alias("n_broken"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"))

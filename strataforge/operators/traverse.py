@@ -2,12 +2,13 @@
 
 Level-synchronous: each level joins the frontier of all targets with the edges, drops what was visited and keeps
 the first predecessor in queue order. Levels are cut by reliable checkpoints, so plans stay flat and a lost executor
-costs nothing but a level.
+costs nothing but a level. Nodes carry their predecessor only; the few paths that are asked for are put together by walking it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,11 @@ HARD_DEPTH, HARD_ENTITIES, HARD_PATHS = 32, 5000, 3
 
 @dataclass
 class Traversal:
-    """``nodes``: (target, id, depth, predecessor, rank, path); ``truncations``: (target, kind, limit, at)."""
+    """``nodes``: (target, id, depth, predecessor, rank); ``truncations``: (target, kind, limit, at); ``levels``: the nodes by depth."""
 
     nodes: DataFrame
     truncations: DataFrame
+    levels: list[DataFrame] = field(default_factory=list)
 
 
 def adjacency(edges: DataFrame, direction: str) -> DataFrame:
@@ -33,23 +35,41 @@ def adjacency(edges: DataFrame, direction: str) -> DataFrame:
     return {"dependents": against, "dependencies": along, "connected": against.unionByName(along)}[direction].filter("at <> next").distinct()
 
 
-def traverse(edges: DataFrame, starts: DataFrame, direction: str = "dependents", max_depth: int = DEFAULT_DEPTH, max_entities: int | None = DEFAULT_ENTITIES, with_paths: bool = True) -> Traversal:
+RELATIONSHIP = ("dependent", "dependency", "type", "is_type_only", "specifier_count")
+
+
+def relationships(graphs: Sequence[DataFrame], direction: str) -> DataFrame:
+    """(at, next, dependent, dependency, type, is_type_only, specifier_count): of all edges of the ``graphs`` between two neighbours the
+    first one, in order of these columns. External ends and self edges are left out."""
+    parts = []
+    for g in graphs:
+        e = g.filter(~F.col("src").startswith("external:") & ~F.col("dst").startswith("external:") & (F.col("src") != F.col("dst")))
+        edge = [F.col("src").alias("dependent"), F.col("dst").alias("dependency"), *RELATIONSHIP[2:]]
+        if direction != "dependencies":
+            parts.append(e.select(F.col("dst").alias("at"), F.col("src").alias("next"), F.struct(*edge).alias("r")))
+        if direction != "dependents":
+            parts.append(e.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.struct(*edge).alias("r")))
+    held = parts[0]
+    for p in parts[1:]:
+        held = held.unionByName(p)
+    return held.groupBy("at", "next").agg(F.min("r").alias("r")).select("at", "next", "r.*")
+
+
+def traverse(edges: DataFrame, starts: DataFrame, direction: str = "dependents", max_depth: int = DEFAULT_DEPTH, max_entities: int | None = DEFAULT_ENTITIES) -> Traversal:
     """Breadth first from each row of ``starts`` (target: its id).
 
     A node's depth is the least number of edges, its predecessor the first in queue order (level order, then the
     predecessor's place, then the id). The first ``max_entities`` nodes in that order hold; what comes next is the
     truncation. Where depth ends first, the first unvisited neighbour is. Start nodes are never results. Null ids are ignored.
-    Without ``with_paths`` the nodes have no path, which is most of what a deep traversal writes.
     """
-    held = ["path"] if with_paths else []
     adj = cut(adjacency(edges, direction))
     frontier = starts.filter(F.col("target").isNotNull()).select("target", F.col("target").alias("id")).distinct()
-    visited = frontier.select("target", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("predecessor"), F.lit(0).cast("bigint").alias("rank"), *[F.array("id").alias(c) for c in held])
+    visited = frontier.select("target", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("predecessor"), F.lit(0).cast("bigint").alias("rank"))
     visited = cut(visited)
-    frontier, done, truncations = visited, visited.filter("false"), None
+    frontier, done, truncations, levels = visited, visited.filter("false"), None, []
     for depth in range(1, max_depth + 2):
-        ahead = frontier.alias("f").join(adj, F.col("f.id") == F.col("at")).select("target", F.col("next").alias("id"), F.struct("f.rank", "f.id", *[f"f.{c}" for c in held]).alias("via"))
-        fresh = ahead.join(visited.select("target", "id"), ["target", "id"], "left_anti").groupBy("target", "id").agg(F.min("via").alias("via"))
+        ahead = frontier.alias("f").join(adj, F.col("f.id") == F.col("at")).select("target", F.col("next").alias("id"), F.struct("f.rank", "f.id").alias("via"))
+        fresh = ahead.groupBy("target", "id").agg(F.min("via").alias("via")).join(visited.select("target", "id"), ["target", "id"], "left_anti")
         if depth > max_depth:
             beyond = fresh.groupBy("target").agg(F.min_by("id", F.struct("via.rank", "id")).alias("at"))
             cutoff = beyond.select("target", F.lit("max-depth").alias("kind"), F.lit(max_depth).alias("limit"), "at")
@@ -58,8 +78,7 @@ def traverse(edges: DataFrame, starts: DataFrame, direction: str = "dependents",
         order = Window.partitionBy("target").orderBy("via.rank", "id")
         placed = frontier.groupBy("target").agg(F.max("rank").alias("last"))
         fresh = fresh.join(placed, "target").select(
-            "target", "id", F.lit(depth).alias("depth"), F.col("via.id").alias("predecessor"), (F.col("last") + F.row_number().over(order)).cast("bigint").alias("rank"),
-            *[F.concat(f"via.{c}", F.array("id")).alias(c) for c in held],
+            "target", "id", F.lit(depth).alias("depth"), F.col("via.id").alias("predecessor"), (F.col("last") + F.row_number().over(order)).cast("bigint").alias("rank")
         )
         fresh = cut(fresh)
         if max_entities is not None:
@@ -70,13 +89,14 @@ def traverse(edges: DataFrame, starts: DataFrame, direction: str = "dependents",
             frontier = fresh.join(stopped, "target", "left_anti")
         else:
             frontier = fresh
+        levels.append(fresh)
         done = done.unionByName(fresh)
         visited = visited.unionByName(fresh)
         if frontier.isEmpty():
             break
     if truncations is None:
         truncations = visited.filter("false").select("target", F.lit("max-depth").alias("kind"), F.lit(max_depth).alias("limit"), F.col("id").alias("at"))
-    return Traversal(done, truncations)
+    return Traversal(done, truncations, levels)
 
 
 def dirty_closure(previous: DataFrame, now: DataFrame, changed: DataFrame) -> DataFrame:
@@ -94,7 +114,22 @@ def dirty_closure(previous: DataFrame, now: DataFrame, changed: DataFrame) -> Da
         seen, frontier = cut(seen.unionByName(fresh)), fresh
 
 
-def canonical_paths(nodes: DataFrame, k: int = DEFAULT_PATHS) -> DataFrame:
-    """Paths of the first ``k`` impacted ids of each target, in id order."""
-    w = Window.partitionBy("target").orderBy("id")
-    return nodes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select("target", "id", "depth", "path")
+def first_nodes(t: Traversal, k: int) -> DataFrame:
+    """The first ``k`` ids of each target, in id order; the limit is pushed below the shuffle."""
+    return t.nodes.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("id"))).filter(F.col("_n") <= k).drop("_n")
+
+
+def canonical_paths(t: Traversal, k: int = DEFAULT_PATHS) -> DataFrame:
+    """(target, id, depth, path) of the first ``k`` impacted ids of each target, in id order: the path from the target to the id.
+
+    Predecessors are walked level by level, so each level of nodes is joined once with the few paths that pass it.
+    """
+    wanted = cut(first_nodes(t, k))
+    paths = wanted.filter("false").select("target", "id", "depth", F.col("predecessor").alias("at"), F.array("id").alias("path"))
+    for level in range(len(t.levels), 0, -1):
+        begun = wanted.filter(F.col("depth") == level).select("target", "id", "depth", F.col("predecessor").alias("at"), F.array("id").alias("path"))
+        paths = paths.unionByName(begun)
+        if level > 1:
+            before = t.levels[level - 2].select("target", F.col("id").alias("at"), F.col("predecessor").alias("_p"))
+            paths = paths.join(before, ["target", "at"]).select("target", "id", "depth", F.col("_p").alias("at"), F.concat(F.array("at"), "path").alias("path"))
+    return paths.select("target", "id", "depth", F.concat(F.array("target"), "path").alias("path"))

@@ -16,6 +16,7 @@ from strataforge.operators import integrity as U
 from strataforge.operators import intelligence as N
 from strataforge.operators import knowledge as K
 from strataforge.operators import synthesis as S
+from strataforge.plans import graphs
 from strataforge.plans import inputs as I
 from strataforge.plans.inputs import BASE
 from strataforge.rules import CAPABILITIES, DEFAULT_IGNORE, LAYERS, NO_DOMAINS, ROLE_NAMES, ROLE_PATHS, SIGNALS
@@ -73,6 +74,12 @@ def _barrels(s: SparkSession, d: str) -> DataFrame:
     return raw.groupBy(F.lit(1).alias("repo_id"), F.col("src").alias("path")).agg(F.collect_list(F.struct(F.col("dst").alias("name"), F.col("type"))).alias("exports"))
 
 
+def _with_tests(s: SparkSession, d: str) -> DataFrame:
+    """The repositories' files, helpers and views taken for tests beside and apart from the source, since the tables hold no tests."""
+    beside = F.regexp_replace("path", r"[-_]?[hH]elper(\.\w+)$", ".test$1")
+    return I.repo_files(s, d).withColumn("path", F.when(F.col("path").rlike(r"[-_]?[vV]iew\.\w+$"), F.concat(F.lit("tests/"), "path")).otherwise(beside))
+
+
 def _q(name: str):
     return lambda s, d: getattr(_Set(s, d), name)
 
@@ -88,6 +95,14 @@ def _impact(s: SparkSession, d: str) -> IM.Impact:
     return IM.impact(e, e.select(F.col("dst").alias("target")).distinct(), domains=domains, critical=critical, risks=risks, layers=layers)
 
 
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """Targets by id, by a path to be normalised, by base name only, ambiguous and missing ones, of repository 1."""
+    f = I.repo_files(s, d).filter("repo_id = 1").select("path").distinct()
+    nodes = f.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "path").unionByName(f.filter("path LIKE '%a%'").select(F.concat(F.lit("copy:"), "path").alias("id"), F.lit("file").alias("kind"), "path"))
+    asked = f.select(F.explode(F.array(F.concat(F.lit("file:"), "path"), F.concat(F.lit("./"), F.regexp_replace("path", "/", "//")), F.concat(F.lit("no/"), "path"), F.concat(F.lit(".\\"), "path"))).alias("target"))
+    return IM.resolve_ids(asked, nodes)
+
+
 def _integrity(s: SparkSession, d: str) -> DataFrame:
     cur = I.current(s, d)
     refs = cur.select("repo_id", F.explode("depends_on").alias("entity_id"))
@@ -119,7 +134,7 @@ QUERIES = {
     "service_topology": lambda s, d: A.service_topology(I.repo_files(s, d), KEYS),
     "naming_convention": lambda s, d: K.naming_convention(I.repo_files(s, d), KEYS, 3, 0.2),
     "source_root_convention": lambda s, d: K.source_root(I.repo_files(s, d), KEYS),
-    "test_layout": lambda s, d: K.test_layout(I.repo_files(s, d), KEYS),
+    "test_layout": lambda s, d: K.test_layout(_with_tests(s, d), KEYS),
     "export_style": lambda s, d: K.export_style(_exports(s, d), KEYS),
     "barrel_pattern": lambda s, d: K.barrel_pattern(_barrels(s, d), KEYS).select("repo_id", "file_count", "re_exports"),
     "dynamic_imports": lambda s, d: K.dynamic_imports(_exports(s, d), KEYS),
@@ -160,6 +175,11 @@ QUERIES = {
     "impact_batch": lambda s, d: _impact(s, d).scores.drop("boundary", "total"),
     "impact_scores": lambda s, d: _impact(s, d).scores,
     "impact_truncations": lambda s, d: _impact(s, d).truncations,
+    "impact_components": lambda s, d: _impact(s, d).components.select("target", "kind", "raw", "contribution", "status"),
+    "impact_effects": lambda s, d: _impact(s, d).effects,
+    "impact_crossings": lambda s, d: _impact(s, d).crossings,
+    "impact_targets": lambda s, d: _asked(s, d),
+    "component_union": lambda s, d: IM.cumulative(_impact(s, d)),
     "integrity_violations": _integrity,
     "recovery_status": _recovery,
     "recovery_selection": lambda s, d: U.recovered(_recovery(s, d)),
@@ -246,7 +266,56 @@ _COMP = _ALL + """, bound AS (SELECT repo_id, greatest(max(len(depended_on_by)),
 crit AS (SELECT *, importance * 0.3::DOUBLE + fi * 0.25::DOUBLE + fo * 0.15::DOUBLE + fc * 0.2::DOUBLE + 0.05::DOUBLE AS score FROM (SELECT e.*, len(depended_on_by) / bi AS fi, len(depends_on) / bo AS fo, e.complexity / bc AS fc FROM ent e JOIN bound USING (repo_id)))"""
 _IGNORED_NAMES = "|".join(P.glob_regex(x)[1][4:] for x in DEFAULT_IGNORE)
 
+# -- impact: all dependents as bounded levels, and what they touch
+_IMPACT = (
+    graphs.bounded()
+    + """, scope AS (SELECT target, id AS member FROM reached UNION ALL SELECT target, target FROM l0),
+cols AS (SELECT 'domain' AS kind, repo_id || '|' || belongs_to_domain AS id, repo_id || '|' || path AS member, NULL::DOUBLE AS value FROM cur WHERE belongs_to_domain IS NOT NULL
+  UNION ALL SELECT 'risk', repo_id || '|' || path || '#' || r, repo_id || '|' || path, CASE WHEN contains(r, 'cycle') OR contains(r, 'circular') THEN 7 ELSE 4 END FROM (SELECT *, unnest(risks) AS r FROM cur)
+  UNION ALL SELECT 'critical', 'critical:' || repo_id || '|' || path, repo_id || '|' || path, importance FROM cur WHERE criticality = 'critical'
+  UNION ALL SELECT 'layer', belongs_to_layer, repo_id || '|' || path, NULL FROM cur WHERE belongs_to_layer IS NOT NULL),
+hits AS (SELECT *, row_number() OVER (PARTITION BY target, kind ORDER BY id) AS n FROM (SELECT target, kind, id, min(c.member) AS witness, max(value) AS value FROM scope s JOIN cols c USING (member) GROUP BY target, kind, id)),
+eff AS MATERIALIZED (SELECT * FROM hits WHERE n <= 500),
+first_path AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS n FROM reached) WHERE n = 1),
+steps AS (SELECT target, p[i] AS dependency, p[i + 1] AS dependent FROM (SELECT target, p, unnest(range(1, len(p))) AS i FROM first_path)),
+lay AS (SELECT DISTINCT repo_id || '|' || path AS member, belongs_to_layer AS layer FROM cur WHERE belongs_to_layer IS NOT NULL),
+crossed AS MATERIALIZED (SELECT DISTINCT target, a.layer AS from_layer, b.layer AS to_layer, dependent, dependency FROM steps s JOIN lay a ON a.member = s.dependency JOIN lay b ON b.member = s.dependent WHERE a.layer <> b.layer),
+trunc AS MATERIALIZED (SELECT target, 'max-entities' AS kind, 500 AS "limit", id AS at FROM rest
+  UNION ALL SELECT target, 'max-depth', 8, arg_min(id, p) FROM l9 WHERE target NOT IN (SELECT target FROM rest) GROUP BY target
+  UNION ALL SELECT target, 'max-evidence-paths', 1, id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS n FROM reached) WHERE n = 2),
+sums AS (SELECT target, count(*) FILTER (WHERE kind = 'domain')::DOUBLE AS nd, coalesce(sum(value) FILTER (WHERE kind = 'critical'), 0) AS sc, coalesce(sum(value) FILTER (WHERE kind = 'risk'), 0) AS sr,
+  1 - coalesce(product(1 - greatest(0, least(1, value))) FILTER (WHERE kind = 'critical'), 1) AS pc, 1 - coalesce(product(1 - greatest(0, least(1, value / 10))) FILTER (WHERE kind = 'risk'), 1) AS pr FROM eff GROUP BY target),
+base AS (SELECT t.target, coalesce(r.n, 0) AS n_impacted, r.least_depth AS minimum_depth, coalesce(r.direct, 0) AS n_direct, coalesce(nd, 0) AS nd, coalesce(sc, 0) AS sc, coalesce(sr, 0) AS sr, coalesce(pc, 0) AS pc, coalesce(pr, 0) AS pr, coalesce(x.n, 0)::DOUBLE AS nb
+  FROM l0 t LEFT JOIN (SELECT target, count(*) AS n, min(depth) AS least_depth, count(*) FILTER (WHERE depth = 1) AS direct FROM reached GROUP BY target) r USING (target) LEFT JOIN sums USING (target) LEFT JOIN (SELECT target, count(*) AS n FROM crossed GROUP BY target) x USING (target)),
+"""
+    + "scored AS MATERIALIZED (SELECT target, n_impacted, minimum_depth, n_direct, "
+    + ", ".join(
+        f"floor(({e} * {w}::DOUBLE * 100 + 2.220446049250313e-16) * 100 + 0.5) / 100 AS {n}"
+        for n, e, w in (("reach", "n_impacted / (n_impacted + 1)", 0.35), ("critical", "pc", 0.25), ("domain", "nd / (nd + 1)", 0.15), ("risk", "pr", 0.15), ("boundary", "nb / (nb + 1)", 0.1))
+    )
+    + ", nd, sc, sr, nb FROM base) "
+)
+_COMPONENT = " UNION ALL ".join(
+    f"SELECT s.target, '{k}' AS kind, {raw}::DOUBLE AS raw, {k} AS contribution, CASE WHEN st{' OR pa' if k == 'boundary' else ''}{f' OR mo_{more}' if more else ''} THEN 'partial' ELSE 'available' END AS status FROM scored s JOIN flags USING (target)"
+    for k, raw, more in (("reach", "n_impacted", ""), ("critical", "sc", "critical"), ("domain", "nd", "domain"), ("risk", "sr", "risk"), ("boundary", "nb", "layer"))
+)
+_FLAGS = """, flags AS (SELECT t.target, EXISTS (SELECT 1 FROM trunc x WHERE x.target = t.target AND x.kind <> 'max-evidence-paths') AS st, EXISTS (SELECT 1 FROM trunc x WHERE x.target = t.target AND x.kind = 'max-evidence-paths') AS pa, """
+_FLAGS += ", ".join(f"EXISTS (SELECT 1 FROM hits h WHERE h.target = t.target AND h.kind = '{k}' AND h.n = 501) AS mo_{k}" for k in ("critical", "domain", "risk", "layer")) + " FROM l0 t) "
+
 SQL = {
+    "impact_batch": _IMPACT + "SELECT target, n_impacted, minimum_depth, n_direct, reach, critical, domain, risk FROM scored",
+    "impact_scores": _IMPACT + "SELECT target, n_impacted, minimum_depth, n_direct, reach, critical, domain, risk, boundary, floor((reach + critical + domain + risk + boundary + 2.220446049250313e-16) * 100 + 0.5) / 100 AS total FROM scored",
+    "impact_truncations": _IMPACT + "SELECT * FROM trunc",
+    "impact_effects": _IMPACT + "SELECT target, kind, id, witness FROM eff",
+    "impact_crossings": _IMPACT + "SELECT * FROM crossed",
+    "impact_components": _IMPACT.rstrip() + _FLAGS + _COMPONENT,
+    "component_union": _IMPACT + "SELECT CASE WHEN min(depth) = 1 THEN 'direct' ELSE 'transitive' END AS kind, id FROM reached GROUP BY id UNION ALL SELECT DISTINCT kind, id FROM eff UNION ALL SELECT DISTINCT 'crossing', from_layer || ':' || to_layer || ':' || dependent || ':' || dependency FROM crossed",
+    "impact_targets": BASE
+    + """, f AS (SELECT DISTINCT path FROM repo_files WHERE repo_id = 1), n AS (SELECT path AS id, path FROM f UNION ALL SELECT 'copy:' || path, path FROM f WHERE path LIKE '%a%'),
+      own AS (SELECT 'file:' || path AS target, path AS id FROM f),
+      other AS (SELECT './' || replace(path, '/', '//') AS target, path AS np FROM f UNION ALL SELECT '.' || chr(92) || path, path FROM f UNION ALL SELECT 'no/' || path, 'no/' || path FROM f)
+      SELECT target, id, NULL::VARCHAR AS error FROM own UNION ALL
+      SELECT o.target, CASE WHEN count(DISTINCT n.id) = 1 THEN min(n.id) END, CASE count(DISTINCT n.id) WHEN 0 THEN 'missing' WHEN 1 THEN NULL ELSE 'ambiguous' END FROM other o LEFT JOIN n ON n.path = o.np GROUP BY o.target""",
     "language_distribution": BASE + f"SELECT repo_id, language, file_count, {_PERC.format('file_count', 100)} FROM (SELECT repo_id, language, count(*) AS file_count FROM repo_files WHERE language IS NOT NULL GROUP BY repo_id, language)",
     "language_breakdown_by_loc": BASE + f"SELECT repo_id, language, lines_of_code, {_PERC.format('lines_of_code', 10)} FROM (SELECT repo_id, language, sum(lines_of_code)::BIGINT AS lines_of_code FROM repo_files WHERE language IS NOT NULL GROUP BY repo_id, language)",
     "layer_inference": BASE + _LAYERS + "SELECT * FROM layers",
@@ -259,7 +328,9 @@ SQL = {
       c AS (SELECT repo_id, style, count(*) AS n FROM st WHERE style IS NOT NULL GROUP BY repo_id, style), t AS (SELECT *, sum(n) OVER (PARTITION BY repo_id)::BIGINT AS total, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, style) AS rn FROM c)
       SELECT repo_id, style, n, total, floor(n / total * 1000 + 0.5) / 10 AS percentage FROM t WHERE rn = 1 AND total >= 3 AND n / total >= 0.2""",
     "source_root_convention": BASE + "SELECT repo_id, count(*) FILTER (WHERE starts_with(path, 'src/')) AS in_src, count(*) AS total FROM repo_files GROUP BY repo_id HAVING count(*) >= 3 AND count(*) FILTER (WHERE starts_with(path, 'src/')) / count(*) >= 0.6",
-    "test_layout": BASE + "SELECT repo_id, count(*) AS test_files, count(*) FILTER (WHERE regexp_matches(path, '(?i)\\.(?:test|spec)\\.[^.]+$')) AS colocated, CASE WHEN count(*) FILTER (WHERE regexp_matches(path, '(?i)\\.(?:test|spec)\\.[^.]+$')) >= count(*) / 2 THEN 'co-located' ELSE 'dedicated-directory' END AS style FROM repo_files WHERE regexp_matches(path, '(?i)(?:^|/)(?:__tests__/|test/|tests/)|\\.(?:test|spec)\\.[^.]+$') GROUP BY repo_id",
+    "test_layout": BASE
+    + """, tf AS (SELECT repo_id, CASE WHEN regexp_matches(path, '[-_]?[vV]iew\\.\\w+$') THEN 'tests/' || path ELSE regexp_replace(path, '[-_]?[hH]elper(\\.\\w+)$', '.test\\1') END AS path FROM repo_files)
+      SELECT repo_id, count(*) AS test_files, count(*) FILTER (WHERE regexp_matches(path, '(?i)\\.(?:test|spec)\\.[^.]+$')) AS colocated, CASE WHEN count(*) FILTER (WHERE regexp_matches(path, '(?i)\\.(?:test|spec)\\.[^.]+$')) >= count(*) / 2 THEN 'co-located' ELSE 'dedicated-directory' END AS style FROM tf WHERE regexp_matches(path, '(?i)(?:^|/)(?:__tests__/|test/|tests/)|\\.(?:test|spec)\\.[^.]+$') GROUP BY repo_id""",
     "export_style": BASE + _EXPORTS + ", p AS (SELECT repo_id, path, bool_or(kind = 'default') AS d, bool_or(kind = 'named') AS n FROM exports GROUP BY repo_id, path) SELECT repo_id, count(*) FILTER (WHERE d) AS default_files, count(*) FILTER (WHERE n) AS named_files, CASE WHEN count(*) FILTER (WHERE d) > count(*) FILTER (WHERE n) THEN 'default' ELSE 'named' END AS style FROM p GROUP BY repo_id HAVING count(*) FILTER (WHERE d OR n) > 0",
     "barrel_pattern": BASE + "SELECT 1 AS repo_id, count(DISTINCT src) AS file_count, count(*) AS re_exports FROM raw_edges WHERE type = 're-export'",
     "dynamic_imports": BASE + "SELECT 1 AS repo_id, src AS path, dst AS source FROM raw_edges WHERE type = 'dynamic-import'",

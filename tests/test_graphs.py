@@ -116,8 +116,8 @@ def test_traverse_edges(spark):
     empty = spark.createDataFrame([], "src string, dst string")
     assert T.traverse(empty, spark.createDataFrame([("a",), (None,)], "target string")).nodes.count() == 0
     e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "C"), ("external:x", "C")], "src string, dst string")
-    got = T.traverse(e, spark.createDataFrame([("C",)], "target string")).nodes
-    assert rows(got, "id", "depth") == [("A", 2), ("B", 1)]
+    got = T.traverse(e, spark.createDataFrame([("C",)], "target string"))
+    assert rows(got.nodes, "id", "depth") == [("A", 2), ("B", 1)]
     assert rows(T.canonical_paths(got, 1), "path") == [(["C", "B", "A"],)]
     assert rows(T.dirty_closure(e.limit(1), e, spark.createDataFrame([("A",)], "id string"))) == [("A",), ("B",), ("C",)]
 
