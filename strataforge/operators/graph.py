@@ -104,14 +104,18 @@ def resolve(imports: DataFrame, files: DataFrame, keys: Sequence[str] = ()) -> D
     return out.withColumn("target", F.when(F.col("kind") == "external", F.concat(F.lit("external:"), P.package_root("specifier"))).otherwise(F.col("target")))
 
 
-def build_graph(files: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) out of parsed files: (keys..., path, imports[source, specifiers, isTypeOnly, isDynamic], exports[name, type, isTypeOnly, source])."""
-    imp = files.select(*keys, F.col("path").alias("src"), F.explode("imports").alias("i")).select(
+def build_graph(files: DataFrame, keys: Sequence[str] = (), sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) out of parsed files: (keys..., path, imports[source, specifiers, isTypeOnly, isDynamic], exports[name, type, isTypeOnly, source]).
+
+    With ``sources`` (keys..., path) only these files' edges are built; all files are what imports may mean.
+    """
+    own = files if sources is None else files.join(sources.select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
+    imp = own.select(*keys, F.col("path").alias("src"), F.explode("imports").alias("i")).select(
         *keys, "src", F.col("i.source").alias("specifier"),
         F.when(F.col("i.isDynamic"), "dynamic-import").when(F.col("i.isTypeOnly"), "type-import").otherwise("import").alias("type"),
         F.col("i.isTypeOnly").alias("is_type_only"), F.size("i.specifiers").alias("specifier_count"),
     )
-    exp = files.select(*keys, F.col("path").alias("src"), F.explode("exports").alias("e")).filter("e.source IS NOT NULL")
+    exp = own.select(*keys, F.col("path").alias("src"), F.explode("exports").alias("e")).filter("e.source IS NOT NULL")
     exp = exp.groupBy(*keys, "src", F.col("e.source").alias("specifier"), F.col("e.isTypeOnly").alias("is_type_only")).agg(F.count(F.lit(1)).cast("int").alias("specifier_count")).withColumn("type", F.lit("re-export"))
     raw = imp.unionByName(exp)
     target = resolve(raw, files, keys).filter("kind <> 'unresolved'")

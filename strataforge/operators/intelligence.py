@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.operators.synthesis import criticality
-from strataforge.rules import EXPOSURE_SCALE, HEALTH_WEIGHTS, SEVERITY_WEIGHTS
+from strataforge.rules import (
+    CONCERN, DESCRIBED_PATTERN, DESCRIPTIONS, EXPOSURE_SCALE, FRAMEWORK_CATEGORIES, HEALTH_RATINGS, HEALTH_WEIGHTS, LINTERS, PROJECT_TYPES, SEVERITY_WEIGHTS, STORY, TEST_FRAMEWORKS,
+)
 
 
 def rounded(x: Column, scale: int = 1) -> Column:
@@ -107,35 +109,103 @@ def critical_components(entities: DataFrame, keys: Sequence[str] = ("repo_id",))
     return e.select(*keys, "path", level.alias("criticality"), r3(F.col("_score")).alias("score"), r3(imp).alias("centrality"), r3(F.col("fan_in")).alias("fan_in"), r3(F.col("fan_out")).alias("fan_out"), r3(F.col("cx")).alias("complexity"), reason.alias("reason"))
 
 
-def plural(n: Column, one: str, many: str) -> Column:
-    return F.when(n == 1, F.lit(one)).otherwise(F.lit(many))
+def filled(template: str, *values: Column) -> Column:
+    """A text of the rules with its places filled."""
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for part, value in zip(parts[1:], values, strict=True):
+        out += [value.cast("string"), F.lit(part)]
+    return F.concat(*out)
 
 
-def story(profile: DataFrame, best: DataFrame, layers: DataFrame, domains: DataFrame, scores: DataFrame, critical: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """Narrative sentences of each group, out of its summary rows."""
+def counted(name: str, n: Column, *values: Column) -> Column:
+    """The story's text for one or many."""
+    return F.when(n == 1, filled(STORY[f"{name}_one"], *values)).otherwise(filled(STORY[f"{name}_many"], *values))
+
+
+def identity(repositories: DataFrame, best: DataFrame, profile: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
+    """What each repository is: name, project_type, frameworks (name, category), test_framework, package_manager, description and signs of maturity.
+
+    ``repositories`` (keys..., root_path, frameworks array<string>, package_manager, has_package_json, has_readme, version), ``best`` (keys..., pattern),
+    ``profile`` (keys..., languages). Null frameworks count as none. Signs that would need a listing of the files (CI, changelog, contributing, containers) are false.
+    """
+    rows = repositories.join(best.select(*keys, "pattern"), list(keys), "left").join(profile.select(*keys, "languages"), list(keys), "left")
+    names = F.coalesce("frameworks", F.array().cast("array<string>"))
+    has = lambda parts: F.exists(names, lambda f: has_part(f, parts))
+    has_part = lambda f, parts: F.lower(f).rlike("|".join(parts))
+    kind = F.lit(None).cast("string")
+    for name, parts in reversed(PROJECT_TYPES):
+        kind = F.when(has(parts), name).otherwise(kind)
+    kind = F.coalesce(kind, F.when(F.col("pattern") == "monolith", "application"), F.when(F.col("has_package_json"), "library"), F.lit("unknown"))
+    tests = F.lit(None).cast("string")
+    for name in reversed(TEST_FRAMEWORKS):
+        tests = F.when(has((name,)), name).otherwise(tests)
+
+    def category(f: Column) -> Column:
+        out = F.lit("other")
+        for name, parts in reversed(FRAMEWORK_CATEGORIES.items()):
+            out = F.when(has_part(f, parts), name).otherwise(out)
+        return out
+
+    first = F.coalesce(F.try_element_at("languages", F.lit(1)), F.lit("unknown"))
+    words = F.lit(None).cast("string")
+    for name, text in DESCRIPTIONS.items():
+        words = F.when(F.col("project_type") == name, filled(text, first)).otherwise(words)
+    described = F.when(F.coalesce("pattern", F.lit("unknown")) != "unknown", filled(DESCRIBED_PATTERN, words, F.col("pattern"))).otherwise(words)
+    path = F.filter(F.split("root_path", r"[/\\\\]"), lambda x: x != "")
+    return rows.withColumn("project_type", kind).select(
+        *keys, F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("unknown")).alias("name"), "project_type", F.transform(names, lambda f: F.struct(f.alias("name"), category(f).alias("category"))).alias("frameworks"),
+        tests.alias("test_framework"), "package_manager", described.alias("description"), tests.isNotNull().alias("has_tests"), has(LINTERS).alias("has_linting"), F.coalesce("has_readme", F.lit(False)).alias("has_documentation"),
+        F.col("version").isNotNull().alias("uses_semver"), *[F.lit(False).alias(c) for c in ("has_ci", "has_changelog", "has_contributing", "has_docker")],
+    )
+
+
+def story(
+    who: DataFrame, profile: DataFrame, best: DataFrame, layers: DataFrame, domains: DataFrame, scores: DataFrame, critical: DataFrame, assessment: DataFrame, top: DataFrame, keys: Sequence[str] = ("repo_id",)
+) -> DataFrame:
+    """Narrative sentences of each group, out of its summary rows: summary, architecture, domains, health, critical path and risks.
+
+    ``who`` are rows of :func:`identity`, ``scores`` of :func:`health`, ``critical`` of :func:`critical_components`, ``assessment`` of :func:`risk_assessment`,
+    ``top`` of :func:`top_risks` (its type stands for a description). Each group's lists are bounded: layers by the rules, names to five, top risks to three.
+    """
     lay = layers.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("_layers"))
     dom = domains.groupBy(*keys).agg(F.count(F.lit(1)).alias("_domains"))
-    cri = critical.filter("criticality = 'critical'").groupBy(*keys).agg(F.count(F.lit(1)).alias("_critical"))
-    rows = profile
-    for part in (best, lay, dom, scores, cri):
+    worst = critical.filter("criticality = 'critical'")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "path"))
+    named = worst.withColumn("_n", place).filter("_n <= 5").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "path"))), lambda x: F.element_at(F.split(x["path"], "/"), -1)).alias("_names"))
+    cri = worst.groupBy(*keys).agg(F.count(F.lit(1)).alias("_critical")).join(named, list(keys))
+    risk = assessment.select(*keys, F.col("total").alias("_total"), F.col("exposure").alias("_exposure"), F.col("critical").alias("_worst"), F.col("high").alias("_high"))
+    first = top.filter("place <= 3").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "severity", "type", "n_affected"))).alias("_top"))
+    rows = who.drop("package_manager")
+    for part in (profile.select(*keys, "repository_size", "languages"), best.select(*keys, "pattern", "confidence"), lay, dom, scores, cri, risk, first):
         rows = rows.join(part, list(keys), "left")
-    n_lang = F.size("languages")
+    n_lang = F.size(F.coalesce("languages", F.array().cast("array<string>")))
     lang = F.coalesce(F.try_element_at("languages", F.lit(1)), F.lit("unknown"))
-    summary = F.concat(
-        F.lit("A "), "repository_size", F.lit(" repository"),
-        F.when(n_lang == 1, F.concat(F.lit(" written in "), lang)).otherwise(F.concat(F.lit(" written primarily in "), lang, F.lit(" with "), n_lang - 1, plural(n_lang - 1, " additional language", " additional languages"))), F.lit("."),
+    using = F.array_join(F.transform(F.slice("frameworks", 1, 3), lambda f: f["name"]), ", ")
+    start = F.concat(
+        filled(STORY["project"], F.col("name"), F.coalesce("repository_size", F.lit("tiny")), F.col("project_type")),
+        F.when(n_lang == 1, filled(STORY["one_language"], lang)).otherwise(counted("languages", n_lang - 1, lang, n_lang - 1)), F.when(using != "", filled(STORY["frameworks"], using)).otherwise(""), F.lit(STORY["end"]),
     )
-    n_lay = F.size(F.coalesce("_layers", F.array().cast("array<string>")))
+    summary = F.concat(start, F.when((F.col("description") != "") & (F.col("description") != start), filled(STORY["description"], F.col("description"))).otherwise(""))
+    held = F.coalesce("_layers", F.array().cast("array<string>"))
     pct = F.floor(F.coalesce("confidence", F.lit(0.0)) * 100 + 0.5)
     arch = F.concat(
-        F.lit("Heuristic analysis matched a "), F.coalesce("pattern", F.lit("unknown")), F.lit(" architecture"), F.when(pct > 0, F.concat(F.lit(" ("), pct, F.lit("% heuristic match)"))).otherwise(""),
-        F.when(n_lay > 0, F.concat(F.lit(" with "), n_lay, plural(n_lay, " layer: ", " layers: "), F.array_join("_layers", ", "))).otherwise(""), F.lit("."),
-    )
+        filled(STORY["pattern"], F.coalesce("pattern", F.lit("unknown"))), F.when(pct > 0, filled(STORY["match"], pct)).otherwise(""), F.when(F.size(held) > 0, counted("layers", F.size(held), F.size(held), F.array_join(held, ", "))).otherwise(""), F.lit(STORY["end"])
+    )
     d = F.coalesce("_domains", F.lit(0))
-    dom_text = F.when(d == 0, F.lit("No distinct business domains were identified.")).otherwise(F.concat(F.lit("The codebase contains "), d, plural(d, " identified business domain.", " identified business domains.")))
+    dom_text = F.when(d == 0, F.lit(STORY["no_domains"])).otherwise(counted("domains", d, d))
     o = F.col("overall")
-    rating = F.when(o >= 85, "excellent").when(o >= 70, "good").when(o >= 50, "fair").when(o >= 30, "poor").otherwise("critical")
-    health_text = F.when(o.isNull(), F.lit("Heuristic health is unavailable because no source files were parsed.")).otherwise(F.concat(F.lit("Heuristic health: "), o, F.lit("/100 ("), rating, F.lit(").")))
-    cr = F.coalesce("_critical", F.lit(0))
-    crit = F.when(cr == 0, F.lit("No critical-severity components were identified.")).otherwise(F.concat(cr, plural(cr, " critical component.", " critical components.")))
-    return rows.select(*keys, summary.alias("summary"), arch.alias("architecture"), dom_text.alias("domains"), health_text.alias("health"), crit.alias("critical"))
+    rating = F.lit("critical")
+    for least, name in reversed(HEALTH_RATINGS):
+        rating = F.when(o >= least, name).otherwise(rating)
+    dims = F.array(*[F.struct(F.col(n).alias("v"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(HEALTH_WEIGHTS)])
+    weakest = F.array_min(dims)
+    none = o.isNull() | ((o == 0) & F.forall(dims, lambda x: x["v"] == 0))
+    health_text = F.when(none, F.lit(STORY["no_health"])).otherwise(F.concat(filled(STORY["health"], o, rating), F.when(weakest["v"] < CONCERN, filled(STORY["concern"], weakest["n"], weakest["v"])).otherwise("")))
+    c = F.coalesce("_critical", F.lit(0))
+    crit = F.when(c == 0, F.lit(STORY["no_critical"])).otherwise(counted("critical", c, c, F.array_join(F.coalesce("_names", F.array().cast("array<string>")), " -> ")))
+    n = F.coalesce("_total", F.lit(0))
+    details = F.transform(F.coalesce("_top", F.array().cast("array<struct<place:int,severity:string,type:string,n_affected:int>>")), lambda x: counted("top", x["n_affected"], F.upper(x["severity"]), x["type"], x["n_affected"]))
+    lines = F.array(counted("risks", n, n, F.col("_exposure")), F.when(F.col("_worst") > 0, counted("critical_risks", F.col("_worst"), F.col("_worst"))), F.when(F.col("_high") > 0, counted("high_risks", F.col("_high"), F.col("_high"))))
+    risks = F.when(n == 0, F.array(F.lit(STORY["no_risks"]))).otherwise(F.concat(F.filter(lines, lambda x: x.isNotNull()), details))
+    return rows.select(*keys, summary.alias("summary"), arch.alias("architecture"), dom_text.alias("domains"), health_text.alias("health"), crit.alias("critical"), risks.alias("risks"))

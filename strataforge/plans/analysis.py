@@ -95,6 +95,31 @@ def _impact(s: SparkSession, d: str) -> IM.Impact:
     return IM.impact(e, e.select(F.col("dst").alias("target")).distinct(), domains=domains, critical=critical, risks=risks, layers=layers)
 
 
+def _identity(s: SparkSession, d: str, x: _Set) -> DataFrame:
+    """Repositories with frameworks that their main language and package manager stand for."""
+    r = table(s, d, "repository")
+    own = {"typescript": ["React", "Vitest", "ESLint"], "javascript": ["Express", "Jest", "Webpack"], "python": ["Django"], "go": ["Turborepo", "Prisma"], "java": ["Playwright"]}
+    named = F.array().cast("array<string>")
+    for language, names in own.items():
+        named = F.when(F.col("main_language") == language, F.array(*map(F.lit, names))).otherwise(named)
+    managed = F.coalesce("package_manager", F.lit(""))
+    rows = r.select(
+        "repo_id", "root_path", named.alias("frameworks"), "package_manager", managed.isin("npm", "pnpm", "yarn", "bun").alias("has_package_json"), (F.col("repo_id") % 2 == 0).alias("has_readme"),
+        F.when(F.col("total_files").isNotNull(), F.lit("1.0.0")).alias("version"),
+    )
+    return N.identity(rows, x.best, S.profile(x.files))
+
+
+def _story(s: SparkSession, d: str) -> DataFrame:
+    x = _Set(s, d)
+    return N.story(_identity(s, d, x), S.profile(x.files), x.best, x.layers, x.domains, x.health, N.critical_components(x.entities), N.risk_assessment(x.risks), N.top_risks(x.risks))
+
+
+def _notes(s: SparkSession, d: str) -> DataFrame:
+    """Knowledge about files: the rows of each path in the manifest stand for its notes."""
+    return table(s, d, "manifest").select("repo_id", P.normalise("relative_path").alias("path"))
+
+
 def _asked(s: SparkSession, d: str) -> DataFrame:
     """Targets by id, by a path to be normalised, by base name only, ambiguous and missing ones, of repository 1."""
     f = I.repo_files(s, d).filter("repo_id = 1").select("path").distinct()
@@ -167,7 +192,9 @@ QUERIES = {
     "top_risks": lambda s, d: N.top_risks(_Set(s, d).risks),
     "health": _q("health"),
     "critical_components": lambda s, d: N.critical_components(_Set(s, d).entities),
-    "story": lambda s, d: (lambda x: N.story(S.profile(x.files), x.best, x.layers, x.domains, x.health.select("repo_id", "overall"), N.critical_components(x.entities)))(_Set(s, d)),
+    "identity": lambda s, d: _identity(s, d, _Set(s, d)).withColumn("frameworks", F.transform("frameworks", lambda f: F.concat_ws(":", f["name"], f["category"]))),
+    "story": lambda s, d: _story(s, d),
+    "knowledge_health": lambda s, d: (lambda x: N.health(x.entities, x.best.select("repo_id", "confidence", F.lit(0).alias("n_layers")), x.exposure, _notes(s, d)))(_Set(s, d)),
     "ignore_filter": lambda s, d: I.held_manifest(s, d).select("repo_id", "path", P.ignored("path", [*DEFAULT_IGNORE, "src/*/data", "**/util/*.py"]).alias("ignored")),
     "path_normalise": lambda s, d: table(s, d, "manifest").select("file_id", "relative_path", P.normalise("relative_path").alias("path"), P.dirname(P.normalise("relative_path")).alias("dir"), P.extension("relative_path").alias("ext")).distinct(),
     "package_root": lambda s, d: table(s, d, "manifest").select(P.normalise("relative_path").alias("path")).distinct().select("path", P.package_root("path").alias("root"), P.module_of("path").alias("module")),
@@ -266,6 +293,15 @@ _COMP = _ALL + """, bound AS (SELECT repo_id, greatest(max(len(depended_on_by)),
 crit AS (SELECT *, importance * 0.3::DOUBLE + fi * 0.25::DOUBLE + fo * 0.15::DOUBLE + fc * 0.2::DOUBLE + 0.05::DOUBLE AS score FROM (SELECT e.*, len(depended_on_by) / bi AS fi, len(depends_on) / bo AS fo, e.complexity / bc AS fc FROM ent e JOIN bound USING (repo_id)))"""
 _IGNORED_NAMES = "|".join(P.glob_regex(x)[1][4:] for x in DEFAULT_IGNORE)
 
+_IDENT = """, prof AS (SELECT f.repo_id, count(*) AS n, any_value(l.languages) AS languages FROM repo_files f LEFT JOIN (SELECT repo_id, list(language ORDER BY n DESC, language) AS languages FROM (SELECT repo_id, language, sum(lines_of_code) AS n FROM repo_files WHERE language IS NOT NULL GROUP BY repo_id, language) GROUP BY repo_id) l USING (repo_id) GROUP BY f.repo_id),
+own AS (SELECT r.*, b.pattern, b.confidence AS sure, p.n, p.languages, coalesce(p.languages[1], 'unknown') AS lang, CASE main_language WHEN 'typescript' THEN [{'name': 'React', 'category': 'frontend'}, {'name': 'Vitest', 'category': 'testing'}, {'name': 'ESLint', 'category': 'other'}]
+  WHEN 'javascript' THEN [{'name': 'Express', 'category': 'backend'}, {'name': 'Jest', 'category': 'testing'}, {'name': 'Webpack', 'category': 'build'}] WHEN 'python' THEN [{'name': 'Django', 'category': 'backend'}]
+  WHEN 'go' THEN [{'name': 'Turborepo', 'category': 'build'}, {'name': 'Prisma', 'category': 'orm'}] WHEN 'java' THEN [{'name': 'Playwright', 'category': 'testing'}] ELSE [] END AS frameworks,
+  CASE main_language WHEN 'typescript' THEN 'application' WHEN 'javascript' THEN 'service' WHEN 'go' THEN 'monorepo' ELSE CASE WHEN package_manager IN ('npm', 'pnpm', 'yarn', 'bun') THEN 'library' ELSE 'unknown' END END AS project_type
+  FROM repository r LEFT JOIN best b USING (repo_id) LEFT JOIN prof p USING (repo_id)),
+ident AS (SELECT repo_id, regexp_extract(rtrim(root_path, '/'), '([^/]*)$', 1) AS name, project_type, frameworks, CASE main_language WHEN 'typescript' THEN 'vitest' WHEN 'javascript' THEN 'jest' WHEN 'java' THEN 'playwright' END AS test_framework, package_manager,
+  'A ' || lang || ' ' || replace(project_type, 'unknown', 'project') || CASE WHEN coalesce(pattern, 'unknown') <> 'unknown' THEN ' using ' || pattern || ' architecture' ELSE '' END AS description, n, languages, lang, pattern, sure,
+  main_language IN ('typescript', 'javascript', 'java') IS TRUE AS has_tests, main_language = 'typescript' IS TRUE AS has_linting, repo_id % 2 = 0 AS has_documentation, total_files IS NOT NULL AS uses_semver FROM own)"""
 # -- impact: all dependents as bounded levels, and what they touch
 _IMPACT = (
     graphs.bounded()
@@ -375,6 +411,29 @@ SQL = {
     + f"""SELECT repo_id, path, {_crit('score')} AS criticality, floor(score * 1000 + 0.5) / 1000 AS score, floor(importance * 1000 + 0.5) / 1000 AS centrality, floor(fi * 1000 + 0.5) / 1000 AS fan_in, floor(fo * 1000 + 0.5) / 1000 AS fan_out, floor(fc * 1000 + 0.5) / 1000 AS complexity,
       CASE WHEN fi <= 0.7 AND fc <= 0.7 AND importance <= 0.7 AND fo <= 0.7 THEN {_crit('score')} || ' criticality based on composite scoring' ELSE {_crit('score')} || ' criticality due to ' || concat_ws(', ', CASE WHEN fi > 0.7 THEN 'high fan-in (' || len(depended_on_by) || ' dependents)' END,
         CASE WHEN fc > 0.7 THEN 'high complexity (' || complexity || ')' END, CASE WHEN importance > 0.7 THEN 'high graph centrality' END, CASE WHEN fo > 0.7 THEN 'high fan-out (' || len(depends_on) || ' dependencies)' END) END AS reason FROM crit WHERE score >= 0.3""",
+    "identity": _ALL + _IDENT + " SELECT repo_id, name, project_type, list_transform(frameworks, lambda f: f.name || ':' || f.category) AS frameworks, test_framework, package_manager, description, has_tests, has_linting, has_documentation, uses_semver, false AS has_ci, false AS has_changelog, false AS has_contributing, false AS has_docker FROM ident",
+    "story": _COMP
+    + _HEALTH
+    + _IDENT
+    + f""", ra AS (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS worst, count(*) FILTER (WHERE severity = 'high') AS high, {_EXPO} AS exposure FROM risks GROUP BY repo_id),
+      tops AS (SELECT repo_id, list(upper(severity) || ': ' || type || ' (affects ' || len(affected) || ' file' || CASE WHEN len(affected) = 1 THEN '' ELSE 's' END || ').' ORDER BY place) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_W} DESC, len(affected) DESC, id) AS place FROM risks) WHERE place <= 3 GROUP BY repo_id),
+      cc AS (SELECT repo_id, count(*) AS k, list(name ORDER BY s DESC, path) AS names FROM (SELECT *, floor(score * 1000 + 0.5) / 1000 AS s FROM crit WHERE score >= 0.8) GROUP BY repo_id),
+      ly AS (SELECT repo_id, count(*) AS k, array_to_string(list(name ORDER BY rank), ', ') AS names FROM layers GROUP BY repo_id), dm AS (SELECT repo_id, count(*) AS k FROM dom GROUP BY repo_id),
+      low AS (SELECT repo_id, overall, list_min([struct_pack(v := architecture, i := 0, n := 'architecture'), struct_pack(v := dependency, i := 1, n := 'dependency'), struct_pack(v := complexity, i := 2, n := 'complexity'), struct_pack(v := knowledge, i := 3, n := 'knowledge'), struct_pack(v := risk, i := 4, n := 'risk')]) AS w FROM he)
+      SELECT i.repo_id, i.name || ' is a ' || CASE WHEN coalesce(n, 0) < 20 THEN 'tiny' WHEN n < 100 THEN 'small' WHEN n < 500 THEN 'medium' WHEN n < 5000 THEN 'large' ELSE 'massive' END || ' ' || project_type || CASE WHEN len(languages) = 1 THEN ' written in ' || lang ELSE ' written primarily in ' || lang || ' with ' || (coalesce(len(languages), 0) - 1) || CASE WHEN coalesce(len(languages), 0) = 2 THEN ' additional language' ELSE ' additional languages' END END
+        || CASE WHEN len(frameworks) > 0 THEN ', using ' || array_to_string(list_transform(frameworks, lambda f: f.name), ', ') ELSE '' END || '. ' || description || '.' AS summary,
+      'Heuristic analysis matched a ' || coalesce(pattern, 'unknown') || ' architecture' || CASE WHEN floor(coalesce(sure, 0) * 100 + 0.5) > 0 THEN ' (' || CAST(floor(sure * 100 + 0.5) AS INTEGER) || '% heuristic match)' ELSE '' END || CASE WHEN ly.k IS NULL THEN '' WHEN ly.k = 1 THEN ' with 1 layer: ' || ly.names ELSE ' with ' || ly.k || ' layers: ' || ly.names END || '.' AS architecture,
+      CASE WHEN dm.k IS NULL THEN 'No distinct business domains were identified. The codebase may be a single-domain application or a library.' WHEN dm.k = 1 THEN 'The codebase contains 1 identified business domain.' ELSE 'The codebase contains ' || dm.k || ' identified business domains.' END AS domains,
+      CASE WHEN overall IS NULL THEN 'Heuristic health is unavailable because no source files were parsed.' ELSE 'Heuristic health: ' || overall || '/100 (' || CASE WHEN overall >= 85 THEN 'excellent' WHEN overall >= 70 THEN 'good' WHEN overall >= 50 THEN 'fair' WHEN overall >= 30 THEN 'poor' ELSE 'critical' END || ').' || CASE WHEN w.v < 60 THEN ' Key concern: the ' || w.n || ' heuristic signal is ' || w.v || '/100.' ELSE '' END END AS health,
+      CASE WHEN cc.k IS NULL THEN 'No critical-severity components were identified.' ELSE 'The critical path runs through ' || cc.k || CASE WHEN cc.k = 1 THEN ' component: ' ELSE ' components: ' END || array_to_string(cc.names[1:5], ' -> ') || '.' END AS critical,
+      CASE WHEN ra.total IS NULL THEN ['No risks were detected.'] ELSE list_filter(list_concat([ra.total || CASE WHEN ra.total = 1 THEN ' risk' ELSE ' risks' END || ' detected (risk exposure: ' || exposure || '/100).', CASE WHEN worst = 1 THEN '1 critical-severity risk requires immediate attention.' WHEN worst > 1 THEN worst || ' critical-severity risks require immediate attention.' END,
+        CASE WHEN high = 1 THEN '1 high-severity risk should be addressed in the near term.' WHEN high > 1 THEN high || ' high-severity risks should be addressed in the near term.' END], t), lambda x: x IS NOT NULL) END AS risks
+      FROM ident i LEFT JOIN ly USING (repo_id) LEFT JOIN dm USING (repo_id) LEFT JOIN low USING (repo_id) LEFT JOIN cc USING (repo_id) LEFT JOIN ra USING (repo_id) LEFT JOIN tops USING (repo_id)""",
+    "knowledge_health": _ALL
+    + """, notes AS (SELECT repo_id, """ + I.NORM_SQL.format("relative_path") + """ AS path, count(*) AS k FROM manifest GROUP BY ALL), nz AS (SELECT e.repo_id, count(*) AS n, sum(CASE WHEN k IS NULL THEN 0 ELSE least(1.0, k / 5) END) AS density, count(k) AS covered, coalesce(sum(k), 0) AS notes, avg(len(depends_on)) AS ad, max(len(depends_on)) AS md, avg(e.complexity) AS ac, avg(CASE WHEN e.complexity > 20 THEN 1.0 ELSE 0 END) AS hc FROM ent e LEFT JOIN notes USING (repo_id, path) GROUP BY e.repo_id),
+      hd AS (SELECT nz.repo_id, CAST(floor(least(100.0, coalesce(b.confidence, 0) * 70) + 0.5) AS INTEGER) AS architecture, CAST(greatest(0, 100 - CASE WHEN ad > 15 THEN 30 WHEN ad > 10 THEN 20 WHEN ad > 5 THEN 10 ELSE 0 END - CASE WHEN md > 30 THEN 20 WHEN md > 20 THEN 10 ELSE 0 END) AS INTEGER) AS dependency,
+        CAST(greatest(0, 100 - CASE WHEN ac > 20 THEN 40 WHEN ac > 10 THEN 20 WHEN ac > 5 THEN 5 ELSE 0 END - CASE WHEN hc > 0.3 THEN 30 WHEN hc > 0.1 THEN 15 ELSE 0 END) AS INTEGER) AS complexity, CAST(floor(density / n * 50 + covered / n * 30 + least(1.0, notes / n) * 20 + 0.5) AS INTEGER) AS knowledge, CAST(100 - coalesce(x.exposure, 0) AS INTEGER) AS risk
+        FROM nz LEFT JOIN best b USING (repo_id) LEFT JOIN expo x USING (repo_id)) SELECT *, CAST(floor(architecture * 0.25::DOUBLE + dependency * 0.2::DOUBLE + complexity * 0.25::DOUBLE + knowledge * 0.15::DOUBLE + risk * 0.15::DOUBLE + 0.5) AS INTEGER) AS overall FROM hd""",
     "ignore_filter": BASE + f"SELECT repo_id, path, len(list_filter(string_split(path, '/'), lambda s: regexp_full_match(s, '(?i){_IGNORED_NAMES}'))) > 0 OR regexp_matches(path, '(?i)^src/[^/]*/data(?:/.*)?$') OR regexp_matches(path, '(?i)^.*/util/[^/]*\\.py(?:/.*)?$') AS ignored FROM held_manifest",
     "path_normalise": f"SELECT DISTINCT file_id, relative_path, {I.NORM_SQL.format('relative_path')} AS path, regexp_replace({I.NORM_SQL.format('relative_path')}, '/?[^/]*$', '') AS dir, lower(regexp_extract(regexp_extract(relative_path, '([^/]*)$', 1), '\\.([^.]+)$', 1)) AS ext FROM manifest",
     "package_root": f"SELECT path, split_part(path, '/', 1) AS root, CASE WHEN regexp_extract(path, '^((?:packages|apps)/[^/]+)', 1) <> '' THEN regexp_extract(path, '^((?:packages|apps)/[^/]+)', 1) WHEN split_part(path, '/', 1) <> '' AND NOT contains(split_part(path, '/', 1), '.') THEN split_part(path, '/', 1) ELSE 'root' END AS module FROM (SELECT DISTINCT {I.NORM_SQL.format('relative_path')} AS path FROM manifest)",

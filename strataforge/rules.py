@@ -111,3 +111,37 @@ SIGNIFICANCE_WEIGHTS, SIGNIFICANT_HEALTH = (0.4, 0.3, 0.3), 20
 
 #: What warnings call the collections of an impact.
 IMPACT_LABELS = {"domain": "domains", "capability": "capabilities", "critical": "critical components", "risk": "risks", "layer": "architecture layers"}
+
+#: Frameworks of a category, by parts of their names in lower case; the first category that fits holds.
+FRAMEWORK_CATEGORIES = {
+    "frontend": ("react", "vue", "angular", "svelte", "next", "nuxt"), "backend": ("express", "fastify", "koa", "nest", "hono", "django", "flask"),
+    "testing": ("jest", "vitest", "mocha", "cypress", "playwright"), "build": ("webpack", "vite", "rollup", "esbuild", "turbo"), "orm": ("prisma", "typeorm", "sequelize", "drizzle"),
+}
+#: What a project is, by parts of its frameworks' names, in order of precedence.
+PROJECT_TYPES = (("monorepo", ("turbo", "lerna", "nx")), ("service", ("express", "fastify", "koa", "nest", "hono")), ("application", ("react", "vue", "angular", "svelte", "next", "nuxt")))
+#: Test frameworks in order of precedence; parts of the names of linters.
+TEST_FRAMEWORKS = ("vitest", "jest", "mocha", "cypress", "playwright")
+LINTERS = ("eslint", "prettier")
+#: Description of a project by its type; {} is its first language.
+DESCRIPTIONS = {
+    "library": "A {} library", "application": "A {} application", "monorepo": "A {} monorepo", "framework": "A {} framework", "cli-tool": "A {} CLI tool",
+    "plugin": "A {} plugin/extension", "service": "A {} service", "unknown": "A {} project",
+}
+DESCRIBED_PATTERN = "{} using {} architecture"
+#: The sentences of the story. {} is filled in order; names that end with _one and _many go by a count.
+STORY = {
+    "project": "{} is a {} {}", "one_language": " written in {}", "languages_one": " written primarily in {} with {} additional language", "languages_many": " written primarily in {} with {} additional languages",
+    "frameworks": ", using {}", "end": ".", "description": " {}.",
+    "pattern": "Heuristic analysis matched a {} architecture", "match": " ({}% heuristic match)", "layers_one": " with {} layer: {}", "layers_many": " with {} layers: {}",
+    "no_domains": "No distinct business domains were identified. The codebase may be a single-domain application or a library.",
+    "domains_one": "The codebase contains {} identified business domain.", "domains_many": "The codebase contains {} identified business domains.",
+    "no_health": "Heuristic health is unavailable because no source files were parsed.", "health": "Heuristic health: {}/100 ({}).", "concern": " Key concern: the {} heuristic signal is {}/100.",
+    "no_critical": "No critical-severity components were identified.", "critical_one": "The critical path runs through {} component: {}.", "critical_many": "The critical path runs through {} components: {}.",
+    "no_risks": "No risks were detected.", "risks_one": "{} risk detected (risk exposure: {}/100).", "risks_many": "{} risks detected (risk exposure: {}/100).",
+    "critical_risks_one": "{} critical-severity risk requires immediate attention.", "critical_risks_many": "{} critical-severity risks require immediate attention.",
+    "high_risks_one": "{} high-severity risk should be addressed in the near term.", "high_risks_many": "{} high-severity risks should be addressed in the near term.",
+    "top_one": "{}: {} (affects {} file).", "top_many": "{}: {} (affects {} files).",
+}
+#: Least health of each rating, and the health below which a dimension is a concern.
+HEALTH_RATINGS = ((85, "excellent"), (70, "good"), (50, "fair"), (30, "poor"))
+CONCERN = 60

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -501,26 +501,30 @@ def parse_file(path: str, language: str | None, content: str | None) -> dict:
 
 
 
-def _each(rows: Iterator[tuple]) -> Iterator[tuple]:
-    names = ("path", "id", "language", "hash", "size", "linesOfCode", "complexity", "imports", "exports", "functions", "classes", "comments", "error")
-    for path, language, content in rows:
-        row = parse_file(path, language, content)
-        yield tuple(row[n] for n in names)
+_NAMES = ("path", "id", "language", "hash", "size", "linesOfCode", "complexity", "imports", "exports", "functions", "classes", "comments", "error")
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """FILE rows of (path, language, content); one row per input row, null content counts as empty."""
-    return flat_map(files, ["path", "language", "content"], _each, FILE)
+def parse(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """FILE rows, after ``keys`` (such as a repository), of (keys..., path, language, content); one row per input row, null content counts as empty."""
+    n = len(keys)
 
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for row in rows:
+            parsed = parse_file(*row[n:])
+            yield (*row[:n], *(parsed[c] for c in _NAMES))
 
-def parse_incremental(now: DataFrame, previous: DataFrame) -> DataFrame:
-    """Rows of ``previous`` whose (path, language, hash) still holds are reused; only the others are parsed."""
+    types = {f.name: f.dataType.simpleString() for f in files.schema}
+    return flat_map(files, [*keys, "path", "language", "content"], each, ", ".join([*(f"{k} {types[k]}" for k in keys), FILE]))
+
+
+def parse_incremental(now: DataFrame, previous: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``previous`` whose (keys..., path, language, hash) still holds are reused; only the others are parsed."""
     hashed = now.withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256))
-    key = [F.col("n.path") == F.col("p.path"), F.col("n.language").eqNullSafe(F.col("p.language")), F.col("n.hash") == F.col("p.hash")]
-    known = previous.select("path", "language", "hash")
+    key = [F.col(f"n.{k}") == F.col(f"p.{k}") for k in (*keys, "path", "hash")] + [F.col("n.language").eqNullSafe(F.col("p.language"))]
+    known = previous.select(*keys, "path", "language", "hash")
     fresh = hashed.alias("n").join(known.alias("p"), key, "left_anti")
-    kept = previous.alias("p").join(hashed.select("path", "language", "hash").alias("n"), key, "left_semi")
-    return kept.unionByName(parse(fresh))
+    kept = previous.alias("p").join(hashed.select(*keys, "path", "language", "hash").alias("n"), key, "left_semi")
+    return kept.unionByName(parse(fresh, keys))
 
 
 def coverage(scanned: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.functions import paths as P
-from strataforge.rules import DEFAULT_IGNORE, FRAMEWORKS, MAX_FILE_SIZE
+from strataforge.rules import DEFAULT_IGNORE, FRAMEWORKS, LANGUAGES, MAX_FILE_SIZE
 from strataforge.schemas import MANIFEST
 
 #: A change of one of these names calls for a full rescan.
@@ -27,37 +27,49 @@ def read_ignore(root: str) -> list[str]:
     return [*DEFAULT_IGNORE, *[x.strip() for x in own if x.strip() and not x.strip().startswith("#")]]
 
 
+def _base(root: str) -> str:
+    """A local folder by its full path; a folder of any other file system as it is."""
+    return root.rstrip("/") if "://" in root else os.path.abspath(root)
+
+
+def _rows(raw: DataFrame, base: str, content: bool) -> DataFrame:
+    local = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"\+", "%2B")) if "://" not in base else F.col("path")
+    rel = F.substring(local, len(base) + 2, 1 << 20)
+    text = [F.make_valid_utf8(F.col("content").cast("string")).alias("content")] if content else []
+    return raw.select(local.alias("path"), rel.alias("relativePath"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modifiedAtMs"), *text)
+
+
 def list_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """(path, relativePath, size, modifiedAtMs) of regular files below ``root`` that no pattern covers.
 
     Only names and sizes are read: content is pruned from the binary source, so ignored files cost a listing.
     """
-    base = os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path", "length", "modificationTime")
-    local = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"\+", "%2B"))
-    rel = F.substring(local, len(base) + 2, 1 << 20)
-    out = raw.select(local.alias("path"), rel.alias("relativePath"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modifiedAtMs"))
-    return out.filter(~P.ignored("relativePath", read_ignore(root) if ignore is None else ignore))
-
+    base = _base(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    return _rows(raw, base, False).filter(~P.ignored("relativePath", read_ignore(root) if ignore is None else ignore))
 
-def with_content(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Files with their text; each is read by the task that holds its row."""
 
-    def each(rows):
-        for row in rows:
-            try:
-                text = Path(row.path).read_bytes().decode("utf-8", "replace")
-            except OSError:
-                text = None
-            yield (row.path, row.relativePath, row.size, row.modifiedAtMs, text)
+def read_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """The same with ``content`` (bytes that are no UTF-8 are replaced), for files that can be analysed.
 
-    import pandas as pd
+    The source reads the bytes where the task runs, on any file system that Spark knows. Names and sizes are left to it, so that files of
+    other kinds or beyond the greatest size aren't opened.
+    """
+    base = _base(root)
+    names = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in extension) for extension in LANGUAGES) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(base).filter(F.col("length") <= MAX_FILE_SIZE)
+    return _rows(raw, base, True).filter(~P.ignored("relativePath", read_ignore(root) if ignore is None else ignore))
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame(list(each(f.itertuples(index=False))), columns=["path", "relativePath", "size", "modifiedAtMs", "content"])
 
-    return files.select("path", "relativePath", "size", "modifiedAtMs").mapInPandas(run, "path string, relativePath string, size bigint, modifiedAtMs bigint, content string")
+def read_changed(spark: SparkSession, root: str, changed: list[str], ignore: list[str] | None = None) -> DataFrame:
+    """Rows of :func:`read_files` for the ``changed`` paths alone; those that are gone, ignored, too large or of no language give none."""
+    base = _base(root)
+    here = [c for c in sorted(set(changed)) if os.path.isfile(os.path.join(base, c)) and re.search(r"\.(?:" + "|".join(LANGUAGES) + r")$", c, re.I)]
+    if not here:
+        return spark.createDataFrame([], "path string, relativePath string, size bigint, modifiedAtMs bigint, content string")
+    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{base}/{c}") for c in here]
+    raw = spark.read.format("binaryFile").load(escaped).filter(F.col("length") <= MAX_FILE_SIZE)
+    return _rows(raw, base, True).filter(~P.ignored("relativePath", read_ignore(root) if ignore is None else ignore))
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -71,12 +83,8 @@ def manifest(files: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """The manifest of a directory. Files that aren't analysed aren't read."""
-    files = list_files(spark, root)
-    lang = P.language("relativePath")
-    wanted = F.coalesce(lang.isNotNull() & (F.col("size") <= MAX_FILE_SIZE), F.lit(False))
-    read = with_content(spark, files.filter(wanted))
-    rest = files.filter(~wanted).withColumn("content", F.lit(None).cast("string"))
-    return manifest(read.unionByName(rest))
+    rest = list_files(spark, root).filter(~F.coalesce(P.language("relativePath").isNotNull() & (F.col("size") <= MAX_FILE_SIZE), F.lit(False)))
+    return manifest(read_files(spark, root).filter(P.language("relativePath").isNotNull()).unionByName(rest.withColumn("content", F.lit(None).cast("string"))))
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -101,9 +109,10 @@ def scan_incremental(spark: SparkSession, root: str, previous: DataFrame | None,
         return scan(spark, root)
     keys = spark.createDataFrame([(c,) for c in changed], "relativePath string")
     kept = previous.join(keys, "relativePath", "left_anti").select(*[c.split()[0] for c in MANIFEST.split(", ")])
-    here = [(os.path.join(os.path.abspath(root), c), c, os.path.getsize(p), int(os.path.getmtime(p) * 1000)) for c in changed if os.path.isfile(p := os.path.join(root, c))]
-    rows = spark.createDataFrame(here, "path string, relativePath string, size bigint, modifiedAtMs bigint").filter(~P.ignored("relativePath", read_ignore(root)))
-    return kept.unionByName(manifest(with_content(spark, rows)))
+    here = [(os.path.join(os.path.abspath(root), c), c, os.path.getsize(p), int(os.path.getmtime(p) * 1000)) for c in sorted(set(changed)) if os.path.isfile(p := os.path.join(root, c))]
+    listed = spark.createDataFrame(here, "path string, relativePath string, size bigint, modifiedAtMs bigint").filter(~P.ignored("relativePath", read_ignore(root)))
+    rows = listed.join(read_changed(spark, root, changed).select("relativePath", "content"), "relativePath", "left")
+    return kept.unionByName(manifest(rows.select("path", "relativePath", "size", "modifiedAtMs", "content")))
 
 
 def read_json_config(path: str, comments: bool = False) -> dict | None:

@@ -1,7 +1,8 @@
 """Versioned storage of analysis tables and a small key-value store, on a plain file system.
 
 Tables of a version are written first, then its manifest, then the ``latest`` pointer by compare-and-set under a lock
-file; readers follow the pointer, so they never see half a version.
+file; readers follow the pointer, so they never see half a version. Several keys change together by a journal: it's written before any
+key, whoever comes next finishes it. The lock of a process that has died is taken over.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ import contextlib
 import json
 import os
 import shutil
+import socket
+import threading
 import time
 from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import quote, unquote
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT = 1
+FORMAT = 2
 
 
 class Conflict(RuntimeError):
@@ -33,22 +37,58 @@ class Store:
     def _path(self, namespace: str, key: str) -> Path:
         return self.root / "kv" / quote(namespace, safe="") / f"{quote(key, safe='')}.json"
 
+    def _abandoned(self, path: Path) -> bool:
+        """Whether the lock's owner is a process of this machine that has died."""
+        try:
+            host, pid = path.read_text().split()
+            if host != socket.gethostname():
+                return False
+            os.kill(int(pid), 0)
+        except ProcessLookupError:
+            return True
+        except (OSError, ValueError):
+            return False
+        return False
+
     @contextlib.contextmanager
     def _lock(self, wait: float = 5) -> Iterator[None]:
         path, until = self.root / ".lock", time.monotonic() + wait
         while True:
+            draft = self.root / f".lock-{os.getpid()}-{threading.get_ident()}"
+            draft.write_text(f"{socket.gethostname()} {os.getpid()}")
             try:
-                os.close(os.open(path, os.O_CREAT | os.O_EXCL))
+                os.link(draft, path)  # fails if the lock is held; the owner's name is there from the first moment
                 break
             except FileExistsError:
+                if self._abandoned(path):
+                    path.unlink(missing_ok=True)
+                    continue
                 if time.monotonic() > until:
                     raise Conflict("the store is locked") from None
                 time.sleep(0.02)
+            finally:
+                draft.unlink(missing_ok=True)
         try:
+            self._finish()
             yield
         finally:
             path.unlink(missing_ok=True)
 
+    @property
+    def _journal(self) -> Path:
+        return self.root / ".journal"
+
+    def _finish(self) -> None:
+        """Carry out the journal of a process that died between its keys. Only under the lock."""
+        if self._journal.exists():
+            self._carry_out(json.loads(self._journal.read_text()))
+            self._journal.unlink()
+
+    def _carry_out(self, entries: list) -> None:
+        for name, text in entries:
+            path = self.root / name
+            path.unlink(missing_ok=True) if text is None else self._write(path, text)
+
     def _write(self, path: Path, text: str) -> None:
         path.parent.mkdir(parents=True, exist_ok=True)
         draft = path.with_suffix(".draft")
@@ -63,6 +103,12 @@ class Store:
         return None if raw is None else json.loads(raw)
 
     def inspect(self, namespace: str, key: str) -> str | None:
+        if self._journal.exists():
+            with self._lock():
+                pass
+        return self._raw(namespace, key)
+
+    def _raw(self, namespace: str, key: str) -> str | None:
         path = self._path(namespace, key)
         return path.read_text() if path.exists() else None
 
@@ -87,18 +133,20 @@ class Store:
         texts = [json.dumps(m[3], sort_keys=True, allow_nan=False) if m[0] == "save" else None for m in mutations]
         with self._lock():
             for kind, namespace, key, *value in preconditions:
-                raw = self.inspect(namespace, key)
+                raw = self._raw(namespace, key)
                 holds = raw is None if kind == "missing" else raw == value[0] if kind == "raw" else raw is not None and json.loads(raw) == value[0]
                 if not holds:
                     raise Conflict(f"{kind} {namespace}/{key}")
-            before = [(self._path(n, k), self.inspect(n, k)) for n, k in targets]
+            before = [[str(self._path(n, k).relative_to(self.root)), self._raw(n, k)] for n, k in targets]
+            entries = [[name, text] for (name, _), text in zip(before, texts, strict=True)]
+            self._write(self._journal, json.dumps(entries))
             try:
-                for (path, _), text in zip(before, texts, strict=True):
-                    path.unlink(missing_ok=True) if text is None else self._write(path, text)
+                self._carry_out(entries)
             except OSError:
-                for path, text in before:
-                    path.unlink(missing_ok=True) if text is None else self._write(path, text)
+                self._carry_out(before)
                 raise
+            finally:
+                self._journal.unlink(missing_ok=True)
 
     # -- versions --------------------------------------------------------------------------------
     def _version(self, repo: str, version: int) -> Path:
@@ -110,10 +158,16 @@ class Store:
         shutil.rmtree(folder, ignore_errors=True)
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(str(folder / name))
-        self._write(folder / "manifest.json", json.dumps({"format": FORMAT, "tables": {n: df.schema.json() for n, df in tables.items()}}))
+        held = {n: {"schema": df.schema.simpleString(), "rows": self._rows(folder / n)} for n, df in tables.items()}
+        self._write(folder / "manifest.json", json.dumps({"format": FORMAT, "tables": held}))
         condition = ("missing", "latest", repo) if expect_latest is None else ("equals", "latest", repo, expect_latest)
         self.apply([("save", "latest", repo, version)], [condition])
 
+    @staticmethod
+    def _rows(folder: Path) -> int:
+        """Rows of a table by the footers of all its files, each of which is read."""
+        return sum(pq.ParquetFile(f).metadata.num_rows for f in sorted(folder.glob("*.parquet")))
+
     def latest(self, repo: str) -> int | None:
         return self.load("latest", repo)
 
@@ -128,13 +182,13 @@ class Store:
         return self.spark.read.parquet(str(self._version(repo, version) / name))
 
     def valid(self, repo: str, version: int) -> bool:
-        """Whether a version has its manifest in a known format and every table can be read with its schema."""
+        """Whether a version has its manifest in a known format, and every table has its schema and, by the footers of all its files, its rows."""
         folder = self._version(repo, version)
         try:
             held = json.loads((folder / "manifest.json").read_text())
             if held["format"] > FORMAT:
                 return False
-            return all(json.loads(self.spark.read.parquet(str(folder / n)).schema.json()) == json.loads(s) or bool(self.spark.read.parquet(str(folder / n)).columns) for n, s in held["tables"].items())
+            return all(self.spark.read.parquet(str(folder / n)).schema.simpleString() == t["schema"] and self._rows(folder / n) == t["rows"] for n, t in held["tables"].items())
         except Exception:  # noqa: BLE001
             return False
 

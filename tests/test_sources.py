@@ -138,3 +138,84 @@ def test_git_and_facade(spark, tree, tmp_path):
     assert {r.id for r in sides["before"].impacted.filter("target = 'src/c.ts'").collect()} == {"src/a.ts", "src/b.ts"}
     assert {r.id for r in sides["after"].impacted.filter("target = 'src/c.ts'").collect()} == {"src/bb.ts", "src/d.ts"}
     assert repo.restore() == 2 and repo.history(1) == [2] and repo.entities(limit=1).count() == 1
+
+
+def test_refresh_equals_a_full_run(spark, tree, tmp_path):
+    """Only the files that are named are read; the tables are those of a full analysis."""
+    from strataforge.operators import diffs as D
+
+    def hashes(repo):
+        names = ["files", "edges", "entities", "risks", "health", "semantic_edges"]
+        return {n: [tuple(r) for r in D.state_hash(repo.table(n), ["repo_id"]).collect()] for n in names}
+
+    repo = Repository(spark, str(tree), str(tmp_path / "one"))
+    repo.analyse()
+    hidden = (tree / "src/b.ts").read_text()
+    (tree / "src/b.ts").write_text("this isn't read")
+    (tree / "src/c.ts").write_text("import { a } from './a';\nexport const c = a ? 1 : 2;\n")
+    assert repo.refresh(["src/c.ts"]) == 2
+    (tree / "src/b.ts").write_text(hidden)
+    full = Repository(spark, str(tree), str(tmp_path / "two"))
+    full.analyse()
+    assert hashes(repo) == hashes(full)
+    assert rows(repo.table("dirty")) == [("src/a.ts",), ("src/b.ts",), ("src/c.ts",)]
+    assert repo.refresh(["src/c.ts"]) == 2  # unchanged
+    _errors_and_overview(repo, tree)
+    (tree / "src/[x].ts").write_text("import './b';\n")
+    (tree / "src/a.ts").unlink()
+    assert repo.refresh(["src/[x].ts", "src/a.ts"]) == 3
+    assert rows(repo.table("edges"), "src", "dst") == [("src/[x].ts", "src/b.ts"), ("src/b.ts", "src/c.ts")]
+
+
+def _errors_and_overview(repo, tree):
+    from strataforge.operators.impact import StaleAnalysis, guard
+
+    with pytest.raises(LookupError, match="missing"):
+        repo.impact(["src/none.ts"])
+    with pytest.raises(StaleAnalysis):
+        repo.impact(["src/c.ts"], expected_version=3)
+    for wrong in (("", 1, "", 1), ("r", -1, "r", -1), ("r", 1, "r", 1, True)):
+        with pytest.raises(ValueError):
+            guard(*wrong)
+    for stale in (("r", 1, "q", 1), ("r", 1, "r", 2)):
+        with pytest.raises(StaleAnalysis):
+            guard(*stale)
+    seen = repo.overview()
+    assert seen["health"].count() == 1 and seen["story"].first().summary.startswith(tree.name + " is a tiny ")
+    assert repo.identity().first().project_type in ("library", "unknown", "application", "service", "monorepo") and set(repo.knowledge()) >= {"naming", "barrels"}
+
+
+def test_store_survives_a_crash(spark, tmp_path):
+    import json
+    import os
+    import socket
+    import subprocess
+
+    s = Store(spark, str(tmp_path / "s"))
+    s.apply([("save", "n", "a", 1), ("save", "n", "b", 1)])
+    dead = subprocess.Popen(["true"])
+    dead.wait()
+    (tmp_path / "s/.lock").write_text(f"{socket.gethostname()} {dead.pid}")  # its process died after the first of two keys
+    (tmp_path / "s/.journal").write_text(json.dumps([["kv/n/a.json", "2"], ["kv/n/b.json", "2"], ["kv/n/c.json", None]]))
+    (tmp_path / "s/kv/n/a.json").write_text("2")
+    assert s.load("n", "b") == 2 and s.load("n", "a") == 2 and not (tmp_path / "s/.journal").exists() and not (tmp_path / "s/.lock").exists()
+    df = spark.createDataFrame([(1,), (2,)], "x int").repartition(2)
+    s.publish("r", 1, {"t": df}, None)
+    assert s.valid("r", 1)
+    part = sorted((tmp_path / "s/tables/r/v00000001/t").glob("*.parquet"))[-1]
+    held = part.read_bytes()
+    part.unlink()
+    assert not s.valid("r", 1)
+    part.write_bytes(held[:-20])
+    os.utime(part)
+    assert not s.valid("r", 1)
+
+
+def test_parser_keeps_repositories_apart(spark):
+    f = spark.createDataFrame([(1, "a.ts", "typescript", "import './b'"), (2, "a.ts", "typescript", "import './b'"), (1, "b.ts", "typescript", "")], "repo_id int, path string, language string, content string")
+    out = parse.parse(f, ["repo_id"])
+    assert rows(out, "repo_id", "path") == [(1, "a.ts"), (1, "b.ts"), (2, "a.ts")]
+    from strataforge.operators import graph as G
+
+    assert rows(G.build_graph(out, ["repo_id"])[1], "repo_id", "src", "dst") == [(1, "a.ts", "b.ts")]
+    assert parse.parse_incremental(f, out, ["repo_id"]).count() == 3
