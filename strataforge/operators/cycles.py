@@ -1,8 +1,8 @@
 """Cycles among files, exactly as a depth-first search from ordinally sorted starts meets them.
 
-Only edges inside a strongly connected component can lie on a cycle, and the search within one weakly connected
-component doesn't depend on others. So edges are trimmed (nodes without an incoming or outgoing edge can't be on a
-cycle), components are labelled by distributed label propagation, and each component is searched by itself.
+The search within one weakly connected component doesn't depend on others. So components are labelled by distributed label propagation,
+and each is searched by itself, in one task. Nodes that lead nowhere are trimmed before: they're on no cycle, and a search that visits them comes back as
+it went. Nodes that nothing leads to stay, since a search that starts there decides where a cyclic part is entered, and so which cycles show.
 """
 
 from __future__ import annotations
@@ -36,17 +36,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def trim(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes without incoming or outgoing edges are taken away, again and again; self edges stay."""
+#: Rounds of trimming; what is left after them is left to the search, which passes it in linear time.
+TRIM_ROUNDS = 6
+
+
+def trim(edges: DataFrame, rounds: int = TRIM_ROUNDS) -> DataFrame:
+    """Edges left after those to nodes without outgoing edges are taken away, again and again for some rounds (the result of a search is the same
+    after any number of them). Self edges stay."""
     held = cut(edges.select("src", "dst").distinct())
-    size = held.count()
-    while True:
-        less = held.join(held.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(held.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        less = cut(less.select("src", "dst"))
-        now = less.count()
-        if now == size:
-            return less
-        held, size = less, now
+    for _ in range(rounds):
+        held = held.join(held.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    return cut(held)
 
 
 def walk(adjacent: dict[int, list[int]], n: int) -> Iterator[np.ndarray]:
@@ -119,8 +119,8 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cycles(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., chain, length): file cycles; the chain ends where it began. External ends are ignored.
 
-    A component is searched in one task, since the order of visits decides which cycles show; trimming first keeps
-    components to what may be cyclic. One giant cyclic component is the stated limit.
+    A weakly connected component is searched in one task, since the order of visits decides which cycles show. One giant component is the
+    stated limit: its edges, as numbers, have to fit into a task.
     """
     e = edges.filter(~F.col("src").startswith("external:") & ~F.col("dst").startswith("external:"))
     own = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys], F.lit(""))

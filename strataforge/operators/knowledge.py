@@ -114,7 +114,8 @@ def cycle_risks(cycles: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFr
     """Two cycles over the same files share an id; the first by chain holds."""
     members = F.slice("chain", F.lit(1), F.col("length"))
     out = _risk(cycles, keys, "circular-dependency", F.when(F.col("length") >= 4, "high").otherwise("medium"), F.col("length"), members)
-    return out.groupBy(*keys, "id", "type").agg(F.first("severity").alias("severity"), F.first("affected").alias("affected"), F.first("measured").alias("measured"))
+    held = F.min_by(F.struct("severity", "affected", "measured"), "affected").alias("h")
+    return out.groupBy(*keys, "id", "type").agg(held).select(*keys, "id", "type", "h.*")
 
 
 def all_risks(parts: Sequence[DataFrame]) -> DataFrame:

@@ -69,6 +69,7 @@ QUERIES = {
     "change_kind_fold": lambda s, d: W.fold_changes(_changes(s, d)),
     "sequence_dedupe": lambda s, d: W.accepted(_changes(s, d).withColumn("epoch", (F.col("sequence") * 7919 % 3).cast("int")), ["path"]).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("sequence").alias("last")),
     "debounce_sessions": lambda s, d: W.debounced(_changes(s, d), ["kind"], 600_000),
+    "debounce_flushes": lambda s, d: W.flushed(_changes(s, d), ["kind"], 600_000, 3_600_000),
     "overflow_epochs": lambda s, d: W.overflows(_changes(s, d), ["kind"], 100),
     "state_added_removed": lambda s, d: D.added_removed_kept(*_two(s, d), KEY),
     "state_changes": lambda s, d: D.diff_by_key(*_two(s, d), KEY, COLS),
@@ -106,6 +107,10 @@ SQL = {
     "debounce_sessions": _CH
     + """, g AS (SELECT kind, tm, CASE WHEN tm - lag(tm) OVER (PARTITION BY kind ORDER BY tm) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM ch), h AS (SELECT kind, tm, sum(fresh) OVER (PARTITION BY kind ORDER BY tm ROWS UNBOUNDED PRECEDING) AS n FROM g)
       SELECT kind, min(tm) AS started, max(tm) AS ended, count(*) AS n FROM h GROUP BY kind, h.n""",
+    "debounce_flushes": _CH.replace("WITH ch", "WITH RECURSIVE ch", 1)
+    + """, g AS (SELECT kind, epoch_ms(tm) AS t, tm, CASE WHEN epoch_ms(tm) - lag(epoch_ms(tm)) OVER (PARTITION BY kind ORDER BY tm) < 600000 THEN 0 ELSE 1 END AS fresh FROM ch), h AS (SELECT kind, t, tm, sum(fresh) OVER (PARTITION BY kind ORDER BY tm ROWS UNBOUNDED PRECEDING) AS s FROM g),
+      starts AS (SELECT kind, s, min(t) AS t FROM h GROUP BY kind, s UNION ALL SELECT kind, s, (SELECT min(h.t) FROM h WHERE h.kind = starts.kind AND h.s = starts.s AND h.t >= starts.t + 3600000) FROM starts WHERE t IS NOT NULL),
+      parts AS (SELECT h.kind, h.tm, (SELECT max(x.t) FROM starts x WHERE x.kind = h.kind AND x.s = h.s AND x.t <= h.t) AS start FROM h) SELECT kind, min(tm) AS started, max(tm) AS ended, count(*) AS n FROM parts GROUP BY kind, start""",
     "overflow_epochs": _CH + " SELECT kind, epoch, count(DISTINCT path) AS n_paths, count(DISTINCT path) > 100 AS overflow FROM ch GROUP BY kind, epoch",
     "state_added_removed": _TWO + " SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN a.entity_id IS NULL THEN 'added' WHEN b.entity_id IS NULL THEN 'removed' ELSE 'kept' END AS side FROM a FULL OUTER JOIN b ON a.repo_id = b.repo_id AND a.entity_id = b.entity_id",
     "state_changes": _TWO

@@ -270,9 +270,5 @@ class Repository:
 
     def violations(self) -> DataFrame:
         """Broken references of the newest version; none if it's sound."""
-        e, edges = self.table("entities"), self.table("edges")
-        ids = self.table("nodes").select("id")
-        return U.violations(
-            [U.duplicates(e, ["id"], "entity-id-unique"), U.dangling(edges.select(F.col("src").alias("id")), ids, ["id"], "edge-source-known"), U.dangling(edges.select(F.col("dst").alias("id")), ids, ["id"], "edge-target-known"),
-             U.out_of_range(e, ["id"], "NOT (importance BETWEEN 0 AND 1)", "importance-range")]
-        )
+        names = ["files", "nodes", "edges", "cycles", "entities", "risks", "domains", "capabilities", "layers", "architecture", "semantic_nodes", "semantic_edges", "critical", "complexity", "risk_assessment", "health"]
+        return U.suite(self._tables(names))

@@ -27,21 +27,29 @@ def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
 
 
 def set_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: ``spark.checkpoint.dir`` of the session, a local one only where unset."""
+    """Folder for lineage cuts: ``spark.checkpoint.dir`` of the session, a local one only where unset on a local master."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} has to name a folder that all executors share")
     folder = folder or tempfile.mkdtemp(prefix="strataforge-ckpt-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the written copy survives the loss of executors."""
+    """Reliable checkpoint: the written copy survives the loss of executors.
+
+    The planner's estimate of a join is the product of its sides, and a checkpoint carries estimates on. In a loop they grow to numbers of
+    millions of digits, which take the driver longer than the jobs. So the copy is read without them; what is small is found at run time.
+    """
     set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    plain = df.sparkSession._jsparkSession.internalCreateDataFrame(held._jdf.queryExecution().toRdd(), held._jdf.schema(), False)
+    return DataFrame(plain, df.sparkSession)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

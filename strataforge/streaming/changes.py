@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataforge.runtime import cut
+
 KINDS = ("none", "created", "deleted", "modified")
 MAX_PENDING = 10_000
 DEBOUNCE_MS, MAX_LATENCY_MS = 250, 2000
@@ -76,6 +78,47 @@ def debounced(changes: DataFrame, keys: list[str], gap_ms: int = DEBOUNCE_MS) ->
     return changes.groupBy(*keys, w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("ended")).select(*keys, F.col("w.start").alias("started"), "ended", "n")
 
 
+def flushed(changes: DataFrame, keys: list[str], gap_ms: int = DEBOUNCE_MS, latency_ms: int = MAX_LATENCY_MS) -> DataFrame:
+    """(keys..., started, ended, n): sessions as a debounce flushes them: after a pause of ``gap_ms``, and at the latest ``latency_ms`` after the first
+    change, when the next change begins a new session. Times count in milliseconds; rows with a null time are left out.
+
+    A session's start is a change after a pause, or the first change ``latency_ms`` after the start before it. Which changes follow from each other so is found
+    by doubling jumps, in logarithmic rounds; windows hold what falls into twice ``latency_ms`` of a key (and one row for each such stretch), so no key is gathered.
+    """
+    if not 0 < gap_ms <= latency_ms:
+        raise ValueError("the pause has to be positive and at most the latency")
+    spark_null = F.lit(None).cast("bigint")
+    t = changes.filter("at IS NOT NULL").groupBy(*keys, F.unix_millis(F.col("at").cast("timestamp")).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.min("at").alias("first"))
+    t = t.withColumn("b", F.floor(F.col("t") / latency_ms))
+    within = Window.partitionBy(*keys, "b").orderBy("t")
+    last = t.groupBy(*keys, (F.col("b") + 1).alias("b")).agg(F.max("t").alias("_last"))
+    t = t.withColumn("_prev", F.lag("t").over(within)).join(last, [*keys, "b"], "left").withColumn("_prev", F.coalesce("_prev", "_last"))
+    root = F.col("_prev").isNull() | (F.col("t") - F.col("_prev") >= gap_ms)
+    t = t.withColumn("root", F.when(root, F.col("t"))).drop("_prev", "_last")
+    # the session of each change: the last change after a pause, in its stretch or carried over from earlier ones
+    stretch = t.groupBy(*keys, "b").agg(F.max("root").alias("_r"))
+    carried = stretch.withColumn("_carried", F.last("_r", True).over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).drop("_r")
+    own = F.last("root", True).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    t = cut(t.withColumn("_own", own).join(carried, [*keys, "b"]).withColumn("s", F.coalesce("_own", "_carried")).select(*keys, "b", "t", "s", "n", "at", "first"))
+    # the first change at least latency_ms later, of the same session
+    asked = t.select(*keys, (F.col("b") + 1).alias("p"), (F.col("t") + latency_ms).alias("o"), F.lit(0).alias("tag"), F.col("t").alias("own"), F.col("s"), spark_null.alias("u"), spark_null.alias("us"))
+    there = t.select(*keys, F.explode(F.array("b", F.col("b") - 1)).alias("p"), F.col("t").alias("o"), F.lit(1).alias("tag"), spark_null.alias("own"), spark_null.alias("s"), F.col("t").alias("u"), F.col("s").alias("us"))
+    ahead = Window.partitionBy(*keys, "p").orderBy("o", "tag").rowsBetween(0, Window.unboundedFollowing)
+    jump = asked.unionByName(there).withColumns({"to": F.first("u", True).over(ahead), "ts": F.first("us", True).over(ahead)}).filter("tag = 0 AND ts = s").select(*keys, F.col("own").alias("t"), "to")
+    jump, starts = cut(jump), cut(t.filter("t = s").select(*keys, "t"))
+    while True:
+        more = starts.join(jump, [*keys, "t"]).select(*keys, F.col("to").alias("t")).join(starts, [*keys, "t"], "left_anti")
+        more = cut(more)
+        if more.isEmpty():
+            break
+        starts = cut(starts.unionByName(more))
+        jump = cut(jump.join(jump.select(*keys, F.col("t").alias("to"), F.col("to").alias("further")), [*keys, "to"]).select(*keys, "t", F.col("further").alias("to")))
+    t = t.join(starts.withColumn("_start", F.col("t")), [*keys, "t"], "left")
+    before = starts.groupBy(*keys, (F.floor(F.col("t") / latency_ms) + 1).alias("b")).agg(F.max("t").alias("_before"))
+    t = t.withColumn("_start", F.last("_start", True).over(within.rowsBetween(Window.unboundedPreceding, 0))).join(before, [*keys, "b"], "left")
+    return t.groupBy(*keys, F.coalesce("_start", "_before").alias("_s")).agg(F.min("first").alias("started"), F.max("at").alias("ended"), F.sum("n").alias("n")).drop("_s")
+
+
 def overflows(changes: DataFrame, keys: list[str], limit: int = MAX_PENDING) -> DataFrame:
     """(keys..., epoch, n_paths, overflow): pending paths of each epoch and whether they force a full rescan."""
     return changes.groupBy(*keys, "epoch").agg(F.count_distinct("path").alias("n_paths")).withColumn("overflow", F.col("n_paths") > limit)

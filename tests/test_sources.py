@@ -4,7 +4,9 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
+from strataforge.operators import integrity as U
 from strataforge.repository import Repository
 from strataforge.sources import gitio, parse, scan
 from strataforge.sources.store import Conflict, Store
@@ -113,6 +115,12 @@ def test_git_and_facade(spark, tree, tmp_path):
     assert repo.analyse() == 1 and repo.analyse() == 1  # unchanged
     assert rows(repo.table("edges"), "src", "dst") == [("src/a.ts", "src/b.ts"), ("src/b.ts", "src/c.ts")]
     assert repo.violations().count() == 0
+    names = ["files", "nodes", "edges", "cycles", "entities", "risks", "domains", "capabilities", "layers", "architecture", "semantic_nodes", "semantic_edges", "critical", "complexity", "risk_assessment", "health"]
+    held = {n: repo.table(n) for n in names}
+    held["entities"] = held["entities"].filter("id <> 'file:src/b.ts'")
+    held["health"] = held["health"].withColumn("overall", F.lit(3))
+    wrong = {r.rule for r in U.suite(held).collect()}
+    assert {"dependency-known", "dependency-reciprocal", "file-is-entity", "health-follows", "complexity-follows"} <= wrong
     assert {r.id: r.depth for r in repo.impact(["src/c.ts"]).impacted.collect()} == {"src/a.ts": 2, "src/b.ts": 1}
     (tree / "src/c.ts").write_text("export const c = 3;\n")
     (tree / "src/d.ts").write_text("import { c } from './c';\n")

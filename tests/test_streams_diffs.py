@@ -85,3 +85,30 @@ def test_diffs(spark):
     h = lambda df: D.state_hash(df, ["grp"], ["id"]).filter("grp = 'g'").first().hash
     assert h(before) == h(before.orderBy("id", ascending=False).repartition(3))
     assert D.diff_by_key(before.limit(0), after.limit(0), ["id"], ["a"]).count() == 0
+
+
+def test_flushes_against_a_plain_loop(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, zero = random.Random(3), datetime(2024, 1, 1)
+    items, want = [], []
+    for key in ("a", "b", "c"):
+        times, t = [], 0
+        for _ in range(400):
+            t += rng.choice([1, 30, 120, 200, 249, 250, 400]) if key != "c" else 100
+            times.append(t)
+        items += [(key, zero + timedelta(milliseconds=x)) for x in times]
+        start = last = times[0]
+        n = 0
+        for x in times:
+            if x - last >= 250 or x - start >= 2000:
+                want.append((key, zero + timedelta(milliseconds=start), zero + timedelta(milliseconds=last), n))
+                start, n = x, 0
+            last, n = x, n + 1
+        want.append((key, zero + timedelta(milliseconds=start), zero + timedelta(milliseconds=last), n))
+    df = spark.createDataFrame([*items, ("z", None)], "path string, at timestamp")
+    got = [tuple(r) for r in W.flushed(df, ["path"]).collect()]
+    shift = got and min(r[1] for r in got if r[0] == "a") - min(r[1] for r in want if r[0] == "a")
+    assert sorted(got) == sorted((k, a + shift, b + shift, n) for k, a, b, n in want)
+    assert W.flushed(df.limit(0), ["path"]).count() == 0
