@@ -6,6 +6,8 @@ import random
 import pytest
 
 from strataforge.operators import cycles as C
+from strataforge.operators import parts
+from strataforge.operators import traverse as T
 from strataforge.plans import graphs
 from strataforge.plans import inputs as I
 from tests.conftest import rows
@@ -64,3 +66,37 @@ def test_cycle_search_against_a_plain_recursion(seed):
     for s, d in edges:
         adjacent.setdefault(s, []).append(d)
     assert C.search(adjacent) == sorted(want, key=lambda c: (len(c), c))
+
+
+def _random(spark, seed):
+    """Edges of two parts, ids by part, and targets with one that has no edge."""
+    rng = random.Random(seed)
+    e = sorted({(f"{p}|n{rng.randrange(30):02d}", f"{p}|n{rng.randrange(30):02d}") for p in "ab" for _ in range(70)})
+    targets = sorted({d for _, d in e[::3]}) + ["c|alone"]
+    return spark.createDataFrame(e, "src string, dst string"), spark.createDataFrame([(t,) for t in targets], "target string")
+
+
+@pytest.mark.parametrize(("seed", "direction", "depth", "limit"), [(1, "dependents", 8, None), (2, "dependencies", 2, None), (3, "connected", 32, 9), (4, "dependents", 3, 5)])
+def test_searches_within_tasks_equal_those_by_levels(spark, monkeypatch, seed, direction, depth, limit):
+    edges, targets = _random(spark, seed)
+    every = lambda part: T.traverse(edges, targets, direction, depth, limit, part)
+    monkeypatch.setattr(parts, "BLOCK", 7)
+    one, split = every(None), every(graphs._repo)
+    monkeypatch.setattr(parts, "TASK_ROWS", 0)
+    levels = every(None)
+    assert not levels.paths and one.paths and split.paths
+    for t in (one, split):
+        assert rows(t.nodes, *T.NODE) == rows(levels.nodes, *T.NODE) and rows(t.truncations) == rows(levels.truncations)
+        assert rows(T.canonical_paths(t, 3)) == rows(T.canonical_paths(levels, 3))
+
+
+def test_levels_within_tasks_write_no_checkpoints(spark, monkeypatch):
+    """A search of 32 levels checkpoints its input only; each level once more was the time and the disk of whole runs."""
+    made = []
+    for m in (parts, T):
+        monkeypatch.setattr(m, "cut", lambda df, own=m.cut: made.append(1) or own(df))
+    chain = spark.createDataFrame([(1, f"f{i:02d}", f"f{i + 1:02d}") for i in range(34)], "repo_id int, src string, dst string")
+    monkeypatch.setattr(I, "repo_edges", lambda s, d: chain)
+    for name in ("reach_dependencies_whole", "reach_dependencies_truncations", "reach_depth_batch"):
+        made.clear()
+        assert graphs.QUERIES[name](spark, "").count() and len(made) == 1, name
