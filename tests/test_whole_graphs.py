@@ -100,3 +100,13 @@ def test_levels_within_tasks_write_no_checkpoints(spark, monkeypatch):
     for name in ("reach_dependencies_whole", "reach_dependencies_truncations", "reach_depth_batch"):
         made.clear()
         assert graphs.QUERIES[name](spark, "").count() and len(made) == 1, name
+
+
+def test_truncations_of_each_repository(spark, monkeypatch):
+    """The same names in two repositories: what comes first after depth 32 is the smaller of two neighbours in one, and nothing in the other."""
+    made = []
+    monkeypatch.setattr(parts, "cut", lambda df, own=parts.cut: made.append(1) or own(df))
+    chain = [(r, f"f{i:02d}", f"f{i + 1:02d}") for r in (1, 2) for i in range(33 + (r == 1))] + [(1, "f33", "a-first")]
+    edges = spark.createDataFrame(chain, "repo_id int, src string, dst string")
+    monkeypatch.setattr(I, "repo_edges", lambda s, d: edges)
+    assert rows(graphs.QUERIES["reach_dependencies_truncations"](spark, "")) == [("1|f01", "max-depth", 32, "1|a-first")] and len(made) == 1
