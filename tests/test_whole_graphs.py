@@ -6,6 +6,7 @@ import random
 import pytest
 
 from strataforge.operators import cycles as C
+from strataforge.operators import impact as IM
 from strataforge.operators import parts
 from strataforge.operators import traverse as T
 from strataforge.plans import graphs
@@ -110,3 +111,41 @@ def test_truncations_of_each_repository(spark, monkeypatch):
     edges = spark.createDataFrame(chain, "repo_id int, src string, dst string")
     monkeypatch.setattr(I, "repo_edges", lambda s, d: edges)
     assert rows(graphs.QUERIES["reach_dependencies_truncations"](spark, "")) == [("1|f01", "max-depth", 32, "1|a-first")] and len(made) == 1
+
+
+def _touched(spark):
+    """What nodes of ``_random`` hold: ids of several nodes, values that differ by node or are missing, a node of two layers, one outside the graph."""
+    node = lambda i: f"{'ab'[i % 2]}|n{i % 30:02d}"
+    domains = spark.createDataFrame([(f"{node(i)[0]}|d{i % 5}", node(i)) for i in range(40)], "id string, member string")
+    critical = spark.createDataFrame([(f"k{i % 9}{node(i)[0]}", node(i), None if i % 4 == 0 else i / 20) for i in range(25)] + [("k", "a|gone", 1.0)], "id string, member string, score double")
+    risks = spark.createDataFrame([(f"{node(i)}#{i % 3}", node(i), ("low", "medium", "high", "critical", "odd")[i % 5]) for i in range(50)], "id string, member string, severity string")
+    layers = spark.createDataFrame([(node(i), ("x", "y", None, "z")[i % 4]) for i in range(35)], "member string, layer string")
+    return {"domains": domains, "critical": critical, "risks": risks, "layers": layers}
+
+
+@pytest.mark.parametrize(("seed", "given", "bounds"), [(5, "domains critical risks layers", {"max_entities": 6, "max_paths": 3}), (6, "critical layers", {"max_depth": 3})])
+def test_impact_within_tasks_equals_that_by_levels(spark, monkeypatch, seed, given, bounds):
+    edges, targets = _random(spark, seed)
+    held = _touched(spark)
+    every = lambda part: IM.impact(edges, targets, **{k: held[k] for k in given.split()}, **bounds, part=part)
+    monkeypatch.setattr(parts, "BLOCK", 7)
+    own = every(graphs._repo)
+    monkeypatch.setattr(parts, "TASK_ROWS", 0)
+    levels = every(None)
+    for name in ("impacted", "paths", "scores", "truncations", "effects", "crossings", "warnings"):
+        a, b = getattr(own, name), getattr(levels, name)
+        assert a.dtypes == b.dtypes and rows(a) == rows(b), name
+    near = lambda i: [(r.target, r.kind, round(r.raw, 9), round(r.normalized, 9), r.weight, r.contribution, r.status) for r in i.components.orderBy("target", "kind").collect()]
+    assert near(own) == near(levels)
+
+
+def test_impact_holds_no_scopes(spark, monkeypatch):
+    """Scores and components checkpoint their input only; scopes and levels written beside it were the disk of larger tables."""
+    made = []
+    for m in (parts, T):
+        monkeypatch.setattr(m, "cut", lambda df, own=m.cut: made.append(df.columns) or own(df))
+    edges, targets = _random(spark, 7)
+    i = IM.impact(edges, targets, **_touched(spark), part=graphs._repo)
+    assert i.scores.count() == targets.count() and i.components.count() == 5 * targets.count() and made == [["part", "kind", "a", "b", "value"]]
+    plan = i.scores._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
