@@ -149,3 +149,17 @@ def test_impact_holds_no_scopes(spark, monkeypatch):
     assert i.scores.count() == targets.count() and i.components.count() == 5 * targets.count() and made == [["part", "kind", "a", "b", "value"]]
     plan = i.scores._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_chains_of_one_component_are_written_by_many_tasks(spark, monkeypatch):
+    """One component whose search is cut into stretches: the same cycles as an uncut one, out of more than one task."""
+    rng = random.Random(3)
+    adjacent = {}
+    for s, d in sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(300)}):
+        adjacent.setdefault(f"n{s:02d}", []).append(f"n{d:02d}")
+    edges = spark.createDataFrame([(s, d) for s, ds in adjacent.items() for d in ds], "src string, dst string")
+    monkeypatch.setattr(C, "STRETCH_IDS", 200)
+    got = C.cycles(edges)
+    tasks = [len(p) for p in got.rdd.glom().collect()]
+    assert sum(n > 0 for n in tasks) > 4
+    assert sorted((tuple(r.chain[:-1]) for r in got.collect()), key=lambda c: (len(c), c)) == C.search(adjacent)
