@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 
@@ -163,3 +164,38 @@ def test_chains_of_one_component_are_written_by_many_tasks(spark, monkeypatch):
     tasks = [len(p) for p in got.rdd.glom().collect()]
     assert sum(n > 0 for n in tasks) > 4
     assert sorted((tuple(r.chain[:-1]) for r in got.collect()), key=lambda c: (len(c), c)) == C.search(adjacent)
+
+
+def _states(spark, folder):
+    """Two repositories' states as files: an older version, a superseded row, ids, paths and dependencies that are missing, absent, doubled or own."""
+    row = lambda repo, version, entity, path, to, at=1: (repo, version, entity, f"name of {entity}", path, "role", 0.5, "critical", 3, 0.5, ["cycle"], to, "domain", "layer", at)
+    held = [
+        row(1, 2, "a", "pa", ["b", None, "b", "a", "gone"]), row(1, 2, "b", "pb", ["c"]), row(1, 2, "c", "pc", ["a"]), row(1, 2, "c", "pc", [], 2), row(1, 2, "x", "px", None), row(1, 2, None, "pn", ["a"]),
+        row(1, 1, "c", "pc", ["x"]), row(2, 1, "a", "pa", ["b"]), row(2, 1, "b", "pb", []), row(None, 1, "a", "pa", ["a"]),
+    ]
+    columns = "repo_id long, version int, entity_id string, entity_name string, path string, architecture_role string, importance double, criticality string, complexity int, health_score double, risks array<string>, depends_on array<string>, belongs_to_domain string, belongs_to_layer string, ingested_at long"
+    spark.createDataFrame(held, columns).write.parquet(f"{folder}/entity_states.parquet")
+    spark.createDataFrame([(1, 1, True), (1, 2, True), (1, 3, False), (2, 1, True)], "repo_id long, version int, is_full_snapshot boolean").write.parquet(f"{folder}/snapshots.parquet")
+    return str(folder)
+
+
+def _scans(df):
+    """How often the plan that ran read states, and whether it carried columns that nothing asks for."""
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return len(re.findall(r"FileScan parquet [^\n]*entity_id", ran)), any(c in ran for c in ("entity_name", "health_score", "architecture_role"))
+
+
+def test_reach_depth_batch_shuffles_states_and_edges_once(spark, monkeypatch, tmp_path):
+    """Both ends of the edges come out of one reading of two columns; the edges aren't shuffled again to be told apart, though they may repeat."""
+    d, seen = _states(spark, tmp_path), []
+    assert rows(I.repo_edges(spark, d)) == sorted([(1, "pa", "pa"), (1, "pa", "pb"), (1, "pb", "pc"), (1, "pn", "pa"), (2, "pa", "pb")], key=str)
+    none = spark.createDataFrame([(1, "a", None, ["a", "b"]), (1, "b", "pb", ["a"])], "repo_id long, entity_id string, path string, depends_on array<string>")
+    assert rows(I.edges_of(none)) == sorted([(1, None, None), (1, None, "pb"), (1, "pb", None)], key=str)
+    assert _scans(I.repo_edges(spark, d)) == (1, False)
+    monkeypatch.setattr(parts, "cut", lambda df, own=parts.cut: seen.append(df) or own(df))
+    got = rows(graphs.QUERIES["reach_depth_batch"](spark, d))
+    assert got == [("1|pa", "1|pn", 1), ("1|pb", "1|pa", 1), ("1|pb", "1|pn", 2), ("1|pc", "1|pa", 2), ("1|pc", "1|pb", 1), ("1|pc", "1|pn", 3), ("2|pb", "2|pa", 1)] and _scans(seen[0]) == (1, False)
+    e = spark.createDataFrame([("1|b", "1|a"), ("1|b", "1|a"), ("1|c", "1|b")], "src string, dst string")
+    t = T.traverse(e, spark.createDataFrame([("1|a",)], "target string"))
+    assert rows(t.nodes) == [("1|a", "1|b", 1, "1|a", 1), ("1|a", "1|c", 2, "1|b", 2)] and "Exchange" not in seen[1].filter("kind = -2")._jdf.queryExecution().executedPlan().toString()
