@@ -10,7 +10,7 @@ from strataforge.operators import cycles as C
 from strataforge.operators import impact as IM
 from strataforge.operators import parts
 from strataforge.operators import traverse as T
-from strataforge.plans import graphs
+from strataforge.plans import analysis, graphs
 from strataforge.plans import inputs as I
 from tests.conftest import rows
 
@@ -199,3 +199,12 @@ def test_reach_depth_batch_shuffles_states_and_edges_once(spark, monkeypatch, tm
     e = spark.createDataFrame([("1|b", "1|a"), ("1|b", "1|a"), ("1|c", "1|b")], "src string, dst string")
     t = T.traverse(e, spark.createDataFrame([("1|a",)], "target string"))
     assert rows(t.nodes) == [("1|a", "1|b", 1, "1|a", 1), ("1|a", "1|c", 2, "1|b", 2)] and "Exchange" not in seen[1].filter("kind = -2")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_impact_components_shuffle_states_once(spark, monkeypatch, tmp_path):
+    """Edges and what their files hold come out of one reading of the columns that are asked for."""
+    d, seen = _states(spark, tmp_path), []
+    monkeypatch.setattr(parts, "cut", lambda df, own=parts.cut: seen.append(df) or own(df))
+    got = rows(analysis.QUERIES["impact_components"](spark, d).filter("kind IN ('reach', 'risk')"), "target", "kind", "raw", "status")
+    assert got == sorted([(t, k, v, "available") for t, n, r in (("1|pa", 1.0, 14.0), ("1|pb", 2.0, 21.0), ("1|pc", 3.0, 28.0), ("2|pb", 1.0, 14.0)) for k, v in (("reach", n), ("risk", r))], key=str)
+    assert len(seen) == 1 and _scans(seen[0]) == (1, False)
