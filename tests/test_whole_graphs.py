@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from strataforge.operators import cycles as C
@@ -166,6 +167,52 @@ def test_chains_of_one_component_are_written_by_many_tasks(spark, monkeypatch):
     assert sorted((tuple(r.chain[:-1]) for r in got.collect()), key=lambda c: (len(c), c)) == C.search(adjacent)
 
 
+def _cyclic(seed):
+    """Edges of three components of repositories a, b and c, with self edges, tails and a node that is alone with itself."""
+    rng = random.Random(seed)
+    edges = {(f"{p}n{rng.randrange(15):02d}", f"{p}n{rng.randrange(15):02d}") for p in "abc" for _ in range(40)} | {("cn03", "ct1"), ("ct1", "ct2"), ("ct2", "ct3"), ("d", "d")}
+    adjacent = {}
+    for s, d in sorted(edges):
+        adjacent.setdefault(s, []).append(d)
+    return sorted(edges), C.search(adjacent)
+
+
+def test_cycles_of_a_graph_that_a_task_takes_need_no_labels(spark, monkeypatch):
+    edges, want = _cyclic(1)
+    monkeypatch.setattr(C, "components", lambda edges: pytest.fail("labels"))
+    got = C.cycles(spark.createDataFrame(edges, "src string, dst string"))
+    assert sorted((tuple(r.chain[:-1]) for r in got.collect()), key=lambda c: (len(c), c)) == want
+
+
+def test_cycles_of_larger_graphs_are_trimmed_by_one_join_a_round(spark, monkeypatch):
+    edges, want = _cyclic(2)
+    cut, joins = C.cut, []
+    monkeypatch.setattr(C, "cut", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join")) or cut(df))
+    held = spark.createDataFrame(edges, "src string, dst string")
+    trimmed = C.trim(held)
+    assert set(joins) == {1} and 1 < len(joins) <= C.TRIM_ROUNDS and not trimmed.filter("dst LIKE 'ct%'").count()
+    monkeypatch.setattr(C, "TASK_ROWS", 0)
+    assert sorted((tuple(r.chain[:-1]) for r in C.cycles(held).collect()), key=lambda c: (len(c), c)) == want
+
+
+@pytest.mark.parametrize("group", [1, 1000])
+def test_stretches_hold_what_their_chains_need(monkeypatch, group):
+    """Components in batches that cut them, names beyond ASCII: chains as of one search; a tail without a cycle isn't carried on."""
+    edges, want = _cyclic(3)
+    rename = lambda x: x.replace("n1", "\U0001d4b3").replace("n0", "\uffee")
+    found = lambda stretches: sorted((tuple(x[:-1]) for b in C._chains(iter(stretches)) for x in b.column(0).to_pylist()), key=lambda c: (len(c), c))
+    monkeypatch.setattr(C, "GROUP_ROWS", group, raising=False)
+    rows = [(s[0], s, d) for s, d in edges]
+    batch = lambda held: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["component", "src", "dst"])
+    stretches = list(C._stretches((batch(rows[i : i + 7]) for i in range(0, len(rows), 7)), 20))
+    assert found(stretches) == want and not any("ct2" in b.column(0)[0].as_py() for b in stretches)
+    adjacent = {}
+    for s, d in sorted((rename(s), rename(d)) for s, d in edges):
+        adjacent.setdefault(s, []).append(d)
+    named = list(C._stretches(iter([batch([(k, rename(s), rename(d)) for k, s, d in rows])]), 20))
+    assert found(named) == C.search(adjacent)
+
+
 def _states(spark, folder):
     """Two repositories' states as files: an older version, a superseded row, ids, paths and dependencies that are missing, absent, doubled or own."""
     row = lambda repo, version, entity, path, to, at=1: (repo, version, entity, f"name of {entity}", path, "role", 0.5, "critical", 3, 0.5, ["cycle"], to, "domain", "layer", at)
